@@ -5,16 +5,20 @@ from __future__ import annotations
 from .bpe import op3_bpe_roundtrip
 from .mixing import op1_source_mix
 from .permutation import op7_permutation_index
+from .quality import op8_quality_rff
 from .simhash import op5_simhash
+from .toxicity import op2_toxicity_nnpu
 from .vafile import ORACLE as OP4_SQL
 from .vafile import op4_exact_top_k
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_toxicity_nnpu": op2_toxicity_nnpu,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash": op5_simhash,
     "op7_permutation_index": op7_permutation_index,
+    "op8_quality_rff": op8_quality_rff,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": OP4_SQL,
