@@ -47,8 +47,8 @@ def grid_search(vectors: DataFrame, every: int, k: int, search: Callable, score_
     left = vectors.withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = queries.withColumn("p", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(parts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
 
-    def cell(one: pa.Table, two: pa.Table) -> pa.Table:
-        def sides(t: pa.Table):
+    def cell(one, two):
+        def sides(t):
             ids = np.array(t["vec_id"].to_pylist(), dtype=object)
             flat = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             return ids, flat.reshape(len(ids), -1)

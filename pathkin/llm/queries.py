@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe_roundtrip
+from .lm import op10_lm_scores
 from .mixing import op1_source_mix
 from .permutation import op7_permutation_index
 from .quality import op8_quality_rff
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_permutation_index": op7_permutation_index,
     "op8_quality_rff": op8_quality_rff,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": OP4_SQL,
