@@ -7,6 +7,7 @@ from .lm import op10_lm_scores
 from .mixing import op1_source_mix
 from .permutation import op7_permutation_index
 from .quality import op8_quality_rff
+from .secrets import op9_secret_findings
 from .simhash import op5_simhash
 from .toxicity import op2_toxicity_nnpu
 from .vafile import ORACLE as OP4_SQL
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op7_permutation_index": op7_permutation_index,
     "op8_quality_rff": op8_quality_rff,
+    "op9_secret_findings": op9_secret_findings,
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {
