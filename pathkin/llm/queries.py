@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe_roundtrip
 from .lm import op10_lm_scores
+from .materialise import op6_training_order
 from .mixing import op1_source_mix
 from .permutation import op7_permutation_index
 from .quality import op8_quality_rff
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_simhash": op5_simhash,
+    "op6_training_order": op6_training_order,
     "op7_permutation_index": op7_permutation_index,
     "op8_quality_rff": op8_quality_rff,
     "op9_secret_findings": op9_secret_findings,

@@ -16,7 +16,7 @@ Similar texts (``similar_groups``): for sets of shingles with Jaccard similarity
 distinct shingles of a text are dealt to boxes by hash; the texts differ in so few shingles
 that many boxes hold equal sets (the first segment of a chain within its budget of less than one).
 A box is posted by the SimHash of its shingles. Candidates need whole-text fingerprints within a wide Hamming bound, then
-enough similarity by bottom sketches (exact for small sets).
+enough similarity by bottom sketches; where a sketch leaves it open, the texts' whole sets are compared.
 """
 
 from __future__ import annotations
@@ -250,20 +250,39 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     many = many.withColumn("part", F.shiftrightunsigned("fp", 48))
     order = Window.partitionBy("box", "part").orderBy("fp", "key")
     ahead = [F.struct(F.lag("key", k).over(order).alias("key2"), F.lag("fp", k).over(order).alias("fp2")) for k in (1, 2, 3)]
-    linked = many.select("key", "fp", F.explode(F.array(*ahead, F.struct(F.col("head.key").alias("key2"), F.col("head.fp").alias("fp2")))).alias("o"))
+    head = F.struct(F.col("head.key").alias("key2"), F.col("head.fp").alias("fp2"))
+    linked = many.select("key", "fp", F.array(*ahead, head).alias("others")).select("key", "fp", F.explode("others").alias("o"))
     linked = linked.select("key", "fp", "o.key2", "o.fp2").filter(F.col("key2").isNotNull() & (F.col("key") != F.col("key2")) & near)
     pairs = pairs.unionByName(linked.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2"))).distinct()
 
     sides = pairs.join(firsts.select("key", "n", "low"), "key").join(firsts.select(F.col("key").alias("key2"), F.col("n").alias("m"), F.col("low").alias("low2")), "key2")
     sides = sides.filter(F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity))
 
-    def verify(batches):
-        for batch in batches:
-            got = sketch_similarity(batch.column(2).to_numpy(), batch.column(4).to_numpy(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), bottom)
-            keep = pa.array(got >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    margin = 2 / bottom**0.5  # four standard deviations of a sketch's estimate at 0.8
 
-    edges = sides.select("key", "key2", "n", "low", "m", "low2").mapInArrow(verify, "a bigint, b bigint")
+    def estimate(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            got = sketch_similarity(n, m, batch.column(3).to_pylist(), batch.column(5).to_pylist(), bottom)
+            exact = np.maximum(n, m) <= bottom
+            keep = pa.array(np.where(exact, got >= similarity, got >= similarity - margin))
+            sure = pa.array(exact | (got >= similarity + margin))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), sure.filter(keep)], ["a", "b", "sure"])
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = ({*shingle_hashes((t or "").encode(), shingle_words)} for t in (one, two))
+                keep.append(len(x & y) >= similarity * len(x | y))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    found = durable(sides.select("key", "key2", "n", "low", "m", "low2").mapInArrow(estimate, "a bigint, b bigint, sure boolean"), "similar-pairs")
+    unsure = found.filter("not sure").select("a", "b")
+    asked = unsure.select(F.col("a").alias("key")).union(unsure.select(F.col("b").alias("key"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(firsts.select("key", "doc_id").join(asked, "key"), "doc_id").dropDuplicates(["key"])
+    both = unsure.join(texts.select(F.col("key").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("two")), "b")
+    edges = both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint").unionByName(found.filter("sure").select("a", "b"))
     reached = components(edges, "similar-links")
     grouped = low_ids.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
