@@ -22,4 +22,4 @@ def strict_int(value: Column) -> Column:
 
 def fixed10(value: Column) -> Column:
     """Ten decimals, half up, as an exact decimal: sums no longer depend on the order of rows."""
-    return F.format_string("%.10f", value).cast("decimal(28,10)")
+    return F.format_string("%.10f", value).cast("decimal(18,10)")

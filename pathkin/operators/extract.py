@@ -1,19 +1,16 @@
 """Token arrays to slot events: noun pairs, paths between them, predicates and fillers.
 
-Each token has one head, so that a record is a forest and the path between two tokens runs up one
-ancestor chain to the first common ancestor and down the other. Chains are array expressions and stay in
-the JVM. Only records whose heads form a cycle of three or more go through a Python breadth-first search.
+Each token has one head, so that a record is a forest (or, if malformed, holds cycles) and the path between two
+tokens runs up one ancestor chain and down the other. Chains are array expressions and stay in the JVM.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..functions.stemming import with_stem
-from ..session import ship
 
 # Auxiliary verbs by surface form; grammatical relations.
 AUXILIARIES = ["be", "is", "are", "was", "were", "been", "being", "have", "has", "had", "do", "does", "did"]
@@ -41,7 +38,7 @@ def noun_pairs(records: DataFrame) -> DataFrame:
     """records with one row for each pair of nouns n1, n2 in token order."""
     nouns = F.filter("toks", is_noun)
     pairs = F.flatten(F.transform("_nouns", lambda a: F.transform(F.filter("_nouns", lambda b: b["id"] > a["id"]), lambda b: F.struct(a.alias("n1"), b.alias("n2")))))
-    return records.withColumn("_nouns", nouns).filter(F.size("_nouns") >= 2).withColumn("_pair", F.explode(pairs)).select(*records.columns, "_pair.n1", "_pair.n2")
+    return staged(records, _nouns=nouns).filter(F.size("_nouns") >= 2).withColumn("_pair", F.explode(pairs)).select(*records.columns, "_pair.n1", "_pair.n2")
 
 
 def _chain(start: Column) -> Column:
@@ -51,44 +48,21 @@ def _chain(start: Column) -> Column:
     return F.aggregate("toks", F.array(start), step)
 
 
-def _breadth_first(tokens, start: int, goal: int) -> list[int] | None:
-    around: dict[int, list[int]] = {}
-    for t in tokens:
-        if t["head"]:
-            around.setdefault(t["id"], []).append(t["head"])
-            around.setdefault(t["head"], []).append(t["id"])
-    paths, waiting = {start: [start]}, deque([start])
-    while waiting and goal not in paths:
-        here = waiting.popleft()
-        for there in around.get(here, []):
-            if there not in paths:
-                paths[there] = [*paths[here], there]
-                waiting.append(there)
-    return paths.get(goal)
-
-
 def dependency_paths(pairs: DataFrame) -> DataFrame:
-    """pairs with path: token ids from n1 to n2, both included; null if no path joins them."""
-    ship(pairs.sparkSession)
-    chained = pairs.withColumn("_up", _chain(F.col("n1.id"))).withColumn("_down", _chain(F.col("n2.id")))
-    # a chain that has not come to a root after all tokens runs in a cycle; cycles of one or two leave one path only
-    loop = F.get("_up", F.size("_up") - 1)
-    rooted = F.get("toks", loop - 1)["head"] == 0
-    short = F.get("_up", F.size("_up") - 3) == loop
-    chained = chained.withColumn("_cyclic", ~rooted & ~F.coalesce(short | (F.get("_up", F.size("_up") - 2) == loop), F.lit(False)))
-    up, down = F.array_distinct("_up"), F.array_distinct("_down")
-    straight = chained.filter("NOT _cyclic").withColumn("_up", up).withColumn("_down", down)
-    straight = straight.withColumn("_top", F.get(F.filter("_up", lambda x: F.array_contains("_down", x)), F.lit(0)))
-    path = F.concat(F.slice("_up", 1, F.array_position("_up", F.col("_top")).cast("int")), F.reverse(F.slice("_down", 1, F.array_position("_down", F.col("_top")).cast("int") - 1)))
-    straight = straight.withColumn("path", F.when(F.col("_top").isNotNull(), path))
-
-    @F.udf("array<int>")
-    def search(tokens, start, goal):
-        return _breadth_first(tokens, start, goal)
-
-    round_ = chained.filter("_cyclic").withColumn("path", search("toks", "n1.id", "n2.id"))
-    columns = [*pairs.columns, "path"]
-    return straight.select(*columns).unionByName(round_.select(*columns))
+    """pairs with path: token ids from n1 to n2, both included; null if no path joins them.
+
+    A path goes up n1's chain to a token that n2's chain holds too, and down from there; the shortest has the
+    smallest sum of places. Where heads run in a cycle of even length, two ways round can be equally short: then the one that a
+    breadth-first search in token order takes first, which is the way up if the token where n1's chain enters the cycle comes before its predecessor in it.
+    """
+    chains = staged(pairs, _up=F.array_distinct(_chain(F.col("n1.id"))), _down=F.array_distinct(_chain(F.col("n2.id"))))
+    place = lambda chain, x: F.array_position(chain, x).cast("int")
+    last = F.element_at("_up", -1)
+    way_up = F.get("toks", last - 1)["head"] < last
+    meeting = lambda x: F.struct((place("_up", x) + place("_down", x)).alias("steps"), F.when(way_up, -place("_up", x)).otherwise(place("_up", x)).alias("rank"), x.alias("id"))
+    met = staged(chains, _top=F.array_min(F.transform(F.filter("_up", lambda x: F.array_contains("_down", x)), meeting))["id"])
+    path = F.concat(F.slice("_up", 1, place("_up", F.col("_top"))), F.reverse(F.slice("_down", 1, place("_down", F.col("_top")) - 1)))
+    return staged(met, path=F.when(F.col("_top").isNotNull(), path)).drop("_up", "_down", "_top")
 
 
 def chosen_verbs(paths: DataFrame) -> DataFrame:
@@ -97,16 +71,10 @@ def chosen_verbs(paths: DataFrame) -> DataFrame:
     The verb is the first such verb from n1 on, the preposition the first preposition (null if there is none).
     """
     on_path = F.transform("path", lambda i: F.get("toks", i - 1))
-    return (
-        paths.filter(F.col("path").isNotNull())
-        .withColumn("_on", on_path)
-        .withColumn("_verb", F.get(F.filter("_on", lambda t: is_verb(t) & ~is_auxiliary(t)), F.lit(0)))
-        .filter(F.col("_verb").isNotNull())
-        .withColumn("verb_id", F.col("_verb.id"))
-        .withColumn("verb", F.lower("_verb.word"))
-        .withColumn("prep", F.lower(F.get(F.filter("_on", is_preposition), F.lit(0))["word"]))
-        .drop("_on", "_verb")
-    )
+    walked = staged(paths.filter(F.col("path").isNotNull()), _on=on_path)
+    verb, prep = F.get(F.filter("_on", lambda t: is_verb(t) & ~is_auxiliary(t)), F.lit(0)), F.get(F.filter("_on", is_preposition), F.lit(0))
+    chosen = staged(walked, verb_id=verb["id"], verb=F.lower(verb["word"]), prep=F.lower(prep["word"]))
+    return chosen.filter("verb_id IS NOT NULL").drop("_on")
 
 
 def with_key(df: DataFrame) -> DataFrame:

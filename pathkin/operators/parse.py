@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
 from ..functions.text import strict_int, strict_long, trim_controls
 
 
@@ -23,15 +24,10 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     fields. reason is null for a valid line, else why it is rejected: fields, count, token or head (a
     head that is no token of the line). Blank lines have reason blank.
     """
-    line = trim_controls(F.col(column))
-    fields = F.split(line, "\t", 4)
     tokens = F.split(F.regexp_replace(F.get("_fields", F.lit(1)), r"\s+$", ""), r"\s+")
-    parsed = (
-        lines.withColumn("_line", line)
-        .withColumn("_fields", F.split(F.col("_line"), "\t", 4))
-        .withColumn("count", strict_long(F.get("_fields", F.lit(2))))
-        .withColumn("toks", F.transform(tokens, _token))
-    )
+    line = trim_controls(F.col(column))
+    cut = staged(lines, _line=line, _fields=F.split(line, "\t", 4))
+    parsed = staged(cut, count=strict_long(F.get("_fields", F.lit(2))), toks=F.transform(tokens, _token))
     within = lambda t: (t["head"] >= 0) & (t["head"] <= F.size("toks"))
     reason = (
         F.when(F.col("_line").isNull() | (F.col("_line") == ""), "blank")
@@ -40,7 +36,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.exists("toks", lambda t: t["head"].isNull()), "token")
         .when(~F.forall("toks", within), "head")
     )
-    return parsed.withColumn("reason", reason).drop("_line", "_fields")
+    return staged(parsed, reason=reason).drop("_line", "_fields")
 
 
 def valid_records(parsed: DataFrame) -> DataFrame:

@@ -23,9 +23,11 @@ def numerators(mi: DataFrame, pairs: DataFrame, weight: str = "reference") -> Da
     candidates = positive(mi).select("p", "slot", "w", "mi").join(wanted, "p", "left_semi").join(shared_features(mi).select("slot", "w"), ["slot", "w"], "left_semi")
     one = candidates.select(F.col("p").alias("p1"), "slot", "w", F.col("mi").alias("mi1"))
     two = candidates.select(F.col("p").alias("p2"), "slot", "w", F.col("mi").alias("mi2"))
-    times = F.when(F.col("p1") == F.col("p2"), 1).otherwise(2 if weight == "reference" else 1)
     met = pairs.select("p1", "p2").distinct().join(one, "p1").join(two, ["p2", "slot", "w"])
-    return met.groupBy("p1", "p2", "slot").agg(F.sum((F.col("mi1") + F.col("mi2")) * times).cast("decimal(38,10)").alias("contrib"))
+    sums = met.groupBy("p1", "p2", "slot").agg(F.sum(F.col("mi1") + F.col("mi2")).cast("decimal(37,10)").alias("contrib"))
+    # added up rather than multiplied, which would cost the decimals places
+    twice = (F.col("p1") != F.col("p2")) & F.lit(weight == "reference")
+    return sums.withColumn("contrib", F.when(twice, F.col("contrib") + F.col("contrib")).otherwise(F.col("contrib").cast("decimal(38,10)")))
 
 
 def similarity(numer: DataFrame, denoms: DataFrame) -> DataFrame:
@@ -33,7 +35,8 @@ def similarity(numer: DataFrame, denoms: DataFrame) -> DataFrame:
 
     Pairs without shared fillers, or with a predicate that has no denominator in a slot, have no row; pairs that share fillers in one slot only have s = 0.
     """
-    by_slot = lambda name, slot: F.sum(F.when(F.col("slot") == slot, F.col(name)))
+    # 30 digits leave room to add two of them without losing decimals
+    by_slot = lambda name, slot: F.sum(F.when(F.col("slot") == slot, F.col(name))).cast("decimal(30,10)")
     sums = numer.groupBy("p1", "p2").agg(by_slot("contrib", "X").alias("num_x"), by_slot("contrib", "Y").alias("num_y"))
     wide = denoms.groupBy("p").agg(by_slot("denom", "X").alias("dx"), by_slot("denom", "Y").alias("dy")).filter("dx IS NOT NULL AND dy IS NOT NULL")
     both = sums.join(wide.select(F.col("p").alias("p1"), F.col("dx").alias("dx1"), F.col("dy").alias("dy1")), "p1")

@@ -94,11 +94,11 @@ def marginals(spark, sf):
 
 
 def mutual_information(spark, sf):
-    return _mi(spark, sf).select("p", "slot", "w", "c", F.round(F.col("mi").cast("double"), 8).alias("mi"))
+    return _mi(spark, sf).select("p", "slot", "w", "c", F.col("mi").cast("double").alias("mi"))
 
 
 def denominators(spark, sf):
-    return stats.denominators(_mi(spark, sf)).select("p", "slot", F.round(F.col("denom").cast("double"), 6).alias("denom"))
+    return stats.denominators(_mi(spark, sf)).select("p", "slot", F.col("denom").cast("double").alias("denom"))
 
 
 def shared_features(spark, sf):
@@ -106,7 +106,7 @@ def shared_features(spark, sf):
 
 
 def numerators(spark, sf):
-    return similarity.numerators(_mi(spark, sf), _pairs(spark)).select("p1", "p2", "slot", F.round(F.col("contrib").cast("double"), 6).alias("contrib"))
+    return similarity.numerators(_mi(spark, sf), _pairs(spark)).select("p1", "p2", "slot", F.col("contrib").cast("double").alias("contrib"))
 
 
 def similarity_(spark, sf):
@@ -259,10 +259,10 @@ ORACLE_SQL = {
     "slot_events": f"{_CORPUS}, {_EVENTS} SELECT p, slot, w, c, count(*) AS events FROM events GROUP BY ALL",
     "triple_counts": f"{_COUNTED} SELECT * FROM triples",
     "marginals": f"{_COUNTED} SELECT CASE WHEN grouping(p) = 0 THEN 'PS' WHEN grouping(w) = 0 THEN 'SW' ELSE 'S' END AS kind, p, slot, w, CAST(sum(c) AS BIGINT) AS n FROM triples GROUP BY GROUPING SETS ((p, slot), (slot, w), (slot))",
-    "mutual_information": f"{_COUNTED} SELECT p, slot, w, c, round(mi::DOUBLE, 8) AS mi FROM mi",
-    "denominators": f"{_COUNTED} SELECT p, slot, round(denom::DOUBLE, 6) AS denom FROM den",
+    "mutual_information": f"{_COUNTED} SELECT p, slot, w, c, mi::DOUBLE AS mi FROM mi",
+    "denominators": f"{_COUNTED} SELECT p, slot, denom::DOUBLE AS denom FROM den",
     "shared_features": f"{_COUNTED} SELECT * FROM feat",
-    "numerators": f"{_SIMILAR} SELECT p1, p2, slot, round(contrib::DOUBLE, 6) AS contrib FROM num",
+    "numerators": f"{_SIMILAR} SELECT p1, p2, slot, contrib::DOUBLE AS contrib FROM num",
     "similarity": f"{_SIMILAR} SELECT p1, p2, round(sim_x, 6) AS sim_x, round(sim_y, 6) AS sim_y, round(s, 6) AS s FROM sim",
     "similarity_labeled": f"{_SIMILAR} SELECT p1, p2, label, round(s, 6) AS s FROM sim",
     "similarity_sorted": f"{_SIMILAR} SELECT p1, p2, label, round(s, 6) AS s FROM sim ORDER BY p1, p2",
