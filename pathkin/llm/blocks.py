@@ -57,7 +57,7 @@ def grid_search(vectors: DataFrame, every: int, k: int, search: Callable, score_
             found = ([], [], [])
         else:
             ids, matrix = sides(one)
-            order = np.argsort(np.array([-1 if i is None else i for i in ids], np.int64), kind="stable")  # ties then fall in the order of ids
+            order = np.argsort(np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64), kind="stable")  # ties then fall in the order of ids, null last
             found = search(ids[order], matrix[order], *sides(two))
         kind = pa.float64() if score_type == "double" else pa.int64()
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})

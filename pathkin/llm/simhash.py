@@ -173,121 +173,151 @@ def _level(n: int, boxes: int = 4) -> int:
     return max(0, (n - 1).bit_length() - 2) if n > boxes else 0
 
 
-def sketch(data: bytes, shingle_words: int, similarity: float, boxes: int, bottom: int):
-    """Of a text: number of distinct shingles, whole-text fingerprint, box keys (level, box, SimHash), smallest hashes."""
-    got = np.unique(np.array(shingle_hashes(data, shingle_words), np.uint64))
-    n = len(got)
-    if not n:
-        return 0, 0, [], b""
-    # the finalizer of SplitMix64 parts the box number from the hash that the boxes' fingerprints are made of
-    mixed = (got ^ (got >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    mixed ^= mixed >> np.uint64(31)
-    levels = {_level(n)} | {_level(max(1, int(np.ceil(n * similarity))))}  # a similar, smaller text may be on the level below
-    keys = []
-    for level in sorted(levels):
-        box = (mixed & np.uint64((1 << level) - 1)).astype(np.int64)
+def distinct_hashes(data: bytes, shingle_words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(data, shingle_words), np.uint64))
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64: parts box numbers and sketches from the hashes that fingerprints are made of."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def box_keys(hashes: np.ndarray, similarity: float, boxes: int) -> list[int]:
+    """Names of a set's first boxes: level, box, and SimHash and number of the shingles in it."""
+    n, keys = len(hashes), []
+    spread = mixed(hashes)
+    # a similar set that is smaller may be on the level below
+    for level in sorted({_level(n), _level(max(1, int(np.ceil(n * similarity))))}):
+        box = (spread & np.uint64((1 << level) - 1)).astype(np.int64)
         inside = box < boxes
         order = np.argsort(box[inside], kind="stable")
-        own, held = box[inside][order], got[inside][order]
+        own, held = box[inside][order], hashes[inside][order]
         names, starts = np.unique(own, return_index=True)
         if len(names):
-            prints = majority(held, np.append(starts, len(own)))
-            keys += [xxhash.xxh64_intdigest(b"%d:%d:%d:%d" % (level, b, p, c)) for b, p, c in zip(names.tolist(), prints.tolist(), np.diff(np.append(starts, len(own))).tolist())]
-    whole = majority(got, np.array([0, n]))[0]
-    return n, int(whole.view(np.int64)), [k - (1 << 64) if k >> 63 else k for k in keys], np.sort(mixed)[:bottom].tobytes()
-
-
-def sketch_similarity(n: np.ndarray, m: np.ndarray, a: list[bytes], b: list[bytes], bottom: int) -> np.ndarray:
-    """Jaccard similarity by the smallest hashes of both sets; exact if both are no larger than ``bottom``."""
-    out = np.empty(len(a))
-    for k, (x, y) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        union = np.union1d(x, y)
-        if n[k] > bottom or m[k] > bottom:
-            union = union[:bottom]
-        both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
-        out[k] = both.sum() / max(1, len(union))
-    return out
+            ends = np.append(starts, len(own))
+            keys += [xxhash.xxh64_intdigest(b"%d:%d:%d:%d" % (level, b, p, c)) for b, p, c in zip(names.tolist(), majority(held, ends).tolist(), np.diff(ends).tolist())]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, boxes: int = 16, bottom: int = 256, widest: int = 24, pairwise: int = 16) -> DataFrame:
+def bottom_sketch(hashes: np.ndarray, bottom: int) -> bytes:
+    """The smallest mixed hashes, their upper halves."""
+    return (np.sort(mixed(hashes))[:bottom] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def sketch_similarity(n: int, m: int, a: bytes, b: bytes, bottom: int) -> float:
+    """Jaccard similarity of two sets of n and m by their sketches; that of the whole sets if both are no larger than ``bottom``."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if max(n, m) > bottom:
+        union = union[:bottom]
+    return float((np.isin(union, x) & np.isin(union, y)).sum() / max(1, len(union)))
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, boxes: int = 16, bottom: int = 256, widest: int = 22, pairwise: int = 16) -> DataFrame:
     """(doc_id, component_id): groups of texts linked by Jaccard similarity of their word shingles.
 
     Equal shingle sets always link. Others link if they share a box (16 boxes find a pair at
-    0.8 with probability over 0.99), have fingerprints within ``widest`` bits and sketches with enough
-    similarity. Up to ``pairwise`` different texts in a box are compared pair by pair; in a fuller
+    0.8 with probability over 0.99), have fingerprints within ``widest`` bits, and pass the comparison of their sets. Up
+    to ``pairwise`` different texts in a box are compared pair by pair; in a fuller
     box each is compared with the three before it in the order of fingerprints and with the smallest,
-    in each of its boxes anew. Texts without words are alike. doc_id must be a number; rows that share one are one text's.
+    in each of its boxes anew. First each text is compared with its smallest and its largest candidate; after that only
+    candidates that are not in one component yet are. Texts without words are alike. doc_id must be a number; rows that share one are one text's.
     """
     import pyarrow as pa
 
     tune(docs.sparkSession)
-    fields = "doc_id bigint, n bigint, fp bigint, key bigint, boxes array<bigint>, low binary"
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
-    def run(batches):
+    def describe(batches):
         for batch in batches:
-            rows = [sketch((t or "").encode(), shingle_words, similarity, boxes, bottom) for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh64_intdigest(b"%d:%d:" % (r[0], r[1]) + r[3]) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())],
-                ["doc_id", "n", "fp", "key", "boxes", "low"],
-            )
-
-    marked = durable(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, fields), "similar-sketches")
-    low_ids = durable(marked.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "similar-keys")
-    firsts = marked.join(low_ids.select("key", F.col("id").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
-    firsts = durable(firsts, "similar-texts")
-
-    posted = firsts.select("key", "fp", F.explode("boxes").alias("box"))
-    sizes = posted.groupBy("box").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("fp", "key")).alias("head")).filter("c > 1")
-    posted = posted.join(sizes, "box")
-    few, many = posted.filter(F.col("c") <= pairwise).select("box", "key", "fp"), posted.filter(F.col("c") > pairwise)
-    other = few.select(F.col("box").alias("box2"), F.col("key").alias("key2"), F.col("fp").alias("fp2"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= widest
-    pairs = few.join(other, (F.col("box") == F.col("box2")) & (F.col("key") < F.col("key2")) & near).select("key", "key2")
+            sets = [distinct_hashes((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
+            whole = np.array([majority(h, np.array([0, len(h)]))[0] for h in sets], np.uint64).view(np.int64)
+            columns = [batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array(whole), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([box_keys(h, similarity, boxes) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "key", "boxes"])
+
+    marked = durable(docs.mapInArrow(describe, "doc_id bigint, n int, fp bigint, key bigint, boxes array<bigint>"), "similar-sets")
+    lows = durable(marked.groupBy("key").agg(F.min("doc_id").alias("id")), "similar-keys")
+    posted = marked.dropDuplicates(["key"]).select("key", "n", "fp", F.explode("boxes").alias("box"))
+    posted = durable(posted, "similar-posts")
+    crowded = posted.groupBy("box").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = durable(posted.join(crowded, "box"), "similar-boxes")
+
+    def near(a: str, b: str) -> Column:
+        close = F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= widest
+        return close & (F.least(f"{a}n", f"{b}n") >= F.greatest(f"{a}n", f"{b}n") * F.lit(similarity)) & (F.col(f"{a}key") != F.col(f"{b}key"))
+
+    few, many = met.filter(F.col("c") <= pairwise).drop("c"), met.filter(F.col("c") > pairwise).drop("c")
+    other = few.select(*[F.col(c).alias(f"o_{c}") for c in few.columns])
+    pairs = few.join(other, (F.col("box") == F.col("o_box")) & (F.col("key") < F.col("o_key")) & near("", "o_")).select("key", "o_key")
     # a full box is parted by 16 bits of the fingerprint before its members are ordered, so that no task holds it whole
-    many = many.withColumn("part", F.shiftrightunsigned("fp", 48))
-    order = Window.partitionBy("box", "part").orderBy("fp", "key")
-    ahead = [F.struct(F.lag("key", k).over(order).alias("key2"), F.lag("fp", k).over(order).alias("fp2")) for k in (1, 2, 3)]
-    head = F.struct(F.col("head.key").alias("key2"), F.col("head.fp").alias("fp2"))
-    linked = many.select("key", "fp", F.array(*ahead, head).alias("others")).select("key", "fp", F.explode("others").alias("o"))
-    linked = linked.select("key", "fp", "o.key2", "o.fp2").filter(F.col("key2").isNotNull() & (F.col("key") != F.col("key2")) & near)
-    pairs = pairs.unionByName(linked.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2"))).distinct()
-
-    sides = pairs.join(firsts.select("key", "n", "low"), "key").join(firsts.select(F.col("key").alias("key2"), F.col("n").alias("m"), F.col("low").alias("low2")), "key2")
-    sides = sides.filter(F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity))
+    heads = many.groupBy("box").agg(F.min(F.struct("fp", "key", "n")).alias("head"))
+    order = Window.partitionBy("box", F.shiftrightunsigned("fp", 48)).orderBy("fp", "key")
+    ahead = [F.lag(F.struct("fp", "key", "n"), k).over(order) for k in (1, 2, 3)]
+    linked = many.withColumn("ahead", F.array(*ahead)).join(heads, "box").select("key", "n", "fp", F.explode(F.array_append("ahead", F.col("head"))).alias("o"))
+    linked = linked.filter("o IS NOT NULL").select("key", "n", "fp", F.col("o.key").alias("o_key"), F.col("o.n").alias("o_n"), F.col("o.fp").alias("o_fp")).filter(near("", "o_"))
+    both = pairs.unionByName(linked.select("key", "o_key")).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    pairs = durable(both.distinct(), "similar-candidates")
+
+    asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    asked = durable(lows.join(asked, "key").select("key", F.col("id").alias("doc_id")), "similar-asked")
+
+    def sketches(batches):
+        for batch in batches:
+            sets = [distinct_hashes((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
+            own = pa.array([set_key(h) == k for h, k in zip(sets, batch.column(0).to_pylist())], pa.bool_())  # another text may share the doc_id
+            yield pa.RecordBatch.from_arrays([c.filter(own) for c in (batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([bottom_sketch(h, bottom) for h in sets], pa.binary()))], ["key", "n", "low"])
 
-    margin = 2 / bottom**0.5  # four standard deviations of a sketch's estimate at 0.8
+    sketched = docs.join(asked, "doc_id").select("key", "text").mapInArrow(sketches, "key bigint, n int, low binary").dropDuplicates(["key"])
+    sketched = durable(sketched, "similar-sketches")
+    margin = 2 / bottom**0.5  # over four standard deviations of a sketch's estimate at 0.8
 
     def estimate(batches):
         for batch in batches:
-            n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            got = sketch_similarity(n, m, batch.column(3).to_pylist(), batch.column(5).to_pylist(), bottom)
-            exact = np.maximum(n, m) <= bottom
+            rows = list(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))))
+            got = np.array([sketch_similarity(n, m, x, y, bottom) for n, x, m, y in rows])
+            exact = np.array([max(n, m) <= bottom for n, _, m, _ in rows], bool)
             keep = pa.array(np.where(exact, got >= similarity, got >= similarity - margin))
             sure = pa.array(exact | (got >= similarity + margin))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), sure.filter(keep)], ["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column(0), batch.column(1), sure)], ["a", "b", "sure"])
 
     def compare(batches):
         for batch in batches:
             keep = []
             for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = ({*shingle_hashes((t or "").encode(), shingle_words)} for t in (one, two))
-                keep.append(len(x & y) >= similarity * len(x | y))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
-
-    found = durable(sides.select("key", "key2", "n", "low", "m", "low2").mapInArrow(estimate, "a bigint, b bigint, sure boolean"), "similar-pairs")
-    unsure = found.filter("not sure").select("a", "b")
-    asked = unsure.select(F.col("a").alias("key")).union(unsure.select(F.col("b").alias("key"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(firsts.select("key", "doc_id").join(asked, "key"), "doc_id").dropDuplicates(["key"])
-    both = unsure.join(texts.select(F.col("key").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("two")), "b")
-    edges = both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint").unionByName(found.filter("sure").select("a", "b"))
-    reached = components(edges, "similar-links")
-    grouped = low_ids.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+                x, y = (distinct_hashes((t or "").encode(), shingle_words) for t in (one, two))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= similarity * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
+
+    def verified(some: DataFrame) -> DataFrame:
+        """The pairs of some (a, b) that are similar: by sketches, and by the texts where these leave it open."""
+        side = lambda c: sketched.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
+        found = durable(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "low_a", "n_b", "low_b").mapInArrow(estimate, "a bigint, b bigint, sure boolean"), "similar-found")
+        unsure = found.filter("not sure").select("a", "b")
+        needed = unsure.select(F.col("a").alias("key")).union(unsure.select(F.col("b").alias("key"))).distinct()
+        texts = docs.join(asked.join(needed, "key"), "doc_id").dropDuplicates(["key"])
+        text = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
+        open_ = unsure.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+        return durable(open_.unionByName(found.filter("sure").select("a", "b")), "similar-links")
+
+    around = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    ends = around.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).select("u", F.explode(F.array("low", "high")).alias("v"))
+    links = verified(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    known = components(links, "similar-first")
+    place = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    apart = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+    reached = components(links.unionByName(verified(apart)), "similar-second")
+    grouped = lows.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = grouped.join(ids, "component").select("key", "component_id")
-    return marked.join(named, "key").select("doc_id", "component_id")
+    return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,64 @@
+import zlib
+
+import numpy as np
+
+from pathkin.llm.quality import isotonic, quality
+from pathkin.llm.secrets import fit_forest, labelled_findings, redacted, secret_findings
+from pathkin.llm.toxicity import Csr, fit, nnpu_risk, sigmoid, toxicity
+
+
+def bucket(i, m):
+    return zlib.crc32(b"" if i is None else str(i).encode()) % m
+
+
+def test_toxicity(docs, labels, none, rows):
+    got = toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (bucket(r.doc_id, 5) == 0) for r in got)
+    truth = {r[0]: "idiot" in (r[1] or "") for r in rows}
+    assert np.mean([truth[r.doc_id] == (r.predicted == 1) for r in got]) > 0.9
+    assert toxicity(none, labels).count() == 0
+    assert len({r.score for r in toxicity(docs, labels.filter("false")).collect()}) == 1
+
+
+def test_nnpu_finds_positives_without_negative_labels():
+    rng = np.random.default_rng(0)
+    draw = lambda n, toxic: [sorted(set(rng.integers(5, 200, 20).tolist()) | ({int(rng.integers(0, 5))} if toxic else set())) for _ in range(n)]
+    unlabelled = draw(90, True) + draw(810, False)
+    w, b = fit(Csr(draw(200, True), 200), Csr(unlabelled, 200), 0.1)
+    z = Csr(draw(200, True) + draw(200, False), 200).dot(w) + b
+    assert ((sigmoid(z) >= 0.5) == np.repeat([True, False], 200)).mean() > 0.95
+    on_positives, on_negatives = nnpu_risk(np.zeros(4), np.zeros(4), 0.25)
+    assert np.isclose(on_positives, 0.25 * np.log(2)) and np.isclose(on_negatives, 0.75 * np.log(2))
+
+
+def test_quality(docs, labels, none, rows):
+    got = quality(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (bucket(r.doc_id, 3) == 1) for r in got)
+    truth = {r[0]: r[1] is not None and len(r[1]) > 200 for r in rows}
+    assert np.mean([truth[r.doc_id] == (r.predicted == 1) for r in got]) > 0.85
+    assert quality(none, labels).count() == 0
+    assert quality(docs, labels.filter("false")).count() == len(rows)
+
+
+def test_isotonic():
+    x, y = isotonic(np.array([1.0, 2, 3, 4, 5, 5]), np.array([0, 1, 0, 1, 1, 0]))
+    assert (np.diff(y) >= 0).all() and np.allclose(np.interp([1, 2, 3], x, y), [0, 0.5, 0.5])
+
+
+def test_secrets(spark, docs, none, rows):
+    forest = fit_forest(spark)
+    held = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(labelled_findings(400, 91))], "doc_id bigint, text string, y int")
+    judged = secret_findings(held, forest).join(held, "doc_id").collect()
+    assert np.mean([r.is_secret == (r.y == 1) for r in judged]) > 0.95
+    assert all(r.text[r.start - 1 : r.start - 1 + r.length] == r.value for r in judged)
+    got = secret_findings(docs, forest).collect()
+    assert [(r.doc_id, r.value, r.is_secret) for r in got] == [(14, "9b1c02d7a4e8f3650718293a4b5c6d7e8f901a2b", True)]
+    clean = redacted(docs, forest)
+    assert clean.columns == docs.columns
+    before, after = ({r.doc_id: r.text for r in d.collect()} for d in (docs, clean))
+    assert after.pop(14) == 'idiot token = "[SECRET]" end' and before.pop(14) and before == after
+    assert secret_findings(none, forest).count() == 0 and redacted(none, forest).count() == 0
+    # several candidates in a text, side by side and at its ends
+    many = "AKIA" + "Q7Z2M9X4B1C8V5N3" + ' token = "aB3dE5gH7jK9mN1pQ3sT5vW7" x ' + "ghp_" + "aB3dE5gH7j" * 4
+    one = spark.createDataFrame([(1, many)], "doc_id bigint, text string")
+    assert redacted(one, forest).first().text == '[SECRET] token = "[SECRET]" x [SECRET]'
