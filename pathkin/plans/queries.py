@@ -267,7 +267,8 @@ ORACLE_SQL = {
     "similarity_labeled": f"{_SIMILAR} SELECT p1, p2, label, round(s, 6) AS s FROM sim",
     "similarity_sorted": f"{_SIMILAR} SELECT p1, p2, label, round(s, 6) AS s FROM sim ORDER BY p1, p2",
     "testset_normalized": f"WITH {_PAIRS} SELECT * FROM pairs",
-    "testset_stats": "SELECT * FROM (VALUES ('pairs', 16::BIGINT), ('pairs_POS', 10), ('pairs_NEG', 6), ('templates', 22)) t(measure, n)",
+    "testset_stats": f"""WITH w(l, r, label) AS (VALUES {', '.join(str(p) for p in generated.TEST_PAIRS)})
+      SELECT 'pairs' AS measure, count(*) AS n FROM w UNION ALL SELECT 'pairs_' || label, count(*) FROM w GROUP BY label UNION ALL SELECT 'templates', count(*) FROM (SELECT l FROM w UNION SELECT r FROM w)""",
     "stem_verbs": f"{_CORPUS} SELECT verb AS word, stem FROM stems WHERE verb IN (SELECT verb FROM base)",
     "threshold_sweep": f"""{_EVALUATED}, e AS (SELECT s, count(*) FILTER (label = 'POS') AS pos, count(*) FILTER (label = 'NEG') AS neg FROM sc GROUP BY s),
       r AS (SELECT s AS t, CAST(sum(pos) OVER d AS BIGINT) AS tp, CAST(sum(neg) OVER d AS BIGINT) AS fp, CAST(sum(neg) OVER () - sum(neg) OVER d AS BIGINT) AS tn, CAST(sum(pos) OVER () - sum(pos) OVER d AS BIGINT) AS fn
