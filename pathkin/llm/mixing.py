@@ -159,3 +159,53 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS digest
+  FROM documents
+), s0 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source
+), s1 AS (
+  SELECT *, CAST(CASE (sid - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight, CAST(3 * source_size AS DOUBLE) AS cap, CAST(ceil(sqrt(n)) AS BIGINT) AS shards FROM s0
+), s2 AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s1
+), s3 AS (
+  SELECT *, least(cap, weight * max(level) OVER ()) AS target FROM s2
+), s4 AS (
+  SELECT *, CAST(least(1024, greatest(1, coalesce(floor(min(CASE WHEN target > 0 THEN target / (shards * 100) END) OVER ()), 1))) AS BIGINT) AS block, sum(target) OVER () AS whole, count(*) OVER () AS srcs FROM s3
+), s5 AS (
+  SELECT *, CAST(floor(whole / block + 0.5) AS BIGINT) AS seats FROM s4
+), q AS (
+  SELECT sid, target / (2 * k + 1) AS quotient, seats FROM s5, range(CAST(ceil(target / whole * (seats + srcs)) + 2 AS BIGINT)) r(k) WHERE target > 0
+), won AS (
+  SELECT sid, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, sid) AS place FROM q) WHERE place <= seats GROUP BY sid
+), s AS (
+  SELECT s5.*, coalesce(blocks, 0) AS blocks FROM s5 LEFT JOIN won USING (sid)
+), dealt AS (
+  SELECT doc_id, size, digest, sid, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), h0 AS (
+  SELECT sid, shard, CAST(sum(size) AS BIGINT) AS length FROM dealt GROUP BY ALL
+), h1 AS (
+  SELECT *, sum(length) OVER (PARTITION BY sid) AS total, count(*) OVER (PARTITION BY sid) AS shard_count FROM h0
+), hq AS (
+  SELECT sid, shard, blocks, CAST(length AS DOUBLE) / (2 * k + 1) AS quotient FROM h1 JOIN s USING (sid), range(CAST(ceil(length / total * (blocks + shard_count)) + 2 AS BIGINT)) r(k) WHERE length > 0
+), hw AS (
+  SELECT sid, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY quotient DESC, shard) AS place FROM hq) WHERE place <= blocks GROUP BY ALL
+), plan AS (
+  SELECT h1.sid, h1.shard, length, least(coalesce(quota, 0) * block, length * 3) AS words, source, source_size, target,
+    (CAST('0x' || substr(md5('43:' || h1.sid || ':' || h1.shard), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(length / block) AS BIGINT))) * block AS first
+  FROM h1 JOIN s USING (sid) LEFT JOIN hw ON hw.sid = h1.sid AND hw.shard = h1.shard
+), line AS (
+  SELECT *, sum(size) OVER (PARTITION BY sid, shard ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop FROM dealt
+), placed AS (
+  SELECT doc_id, source, size, source_size, target, length, first, stop, stop - size AS start, CASE WHEN length > 0 THEN words // length ELSE 0 END AS passes, words - CASE WHEN length > 0 THEN words // length ELSE 0 END * length AS rest
+  FROM line JOIN plan USING (sid, shard)
+)
+SELECT doc_id, source, size, source_size, target, CAST(passes * size + greatest(0, least(stop, least(first + rest, length)) - greatest(start, first)) + greatest(0, least(stop, first + rest - length) - greatest(start, 0)) AS BIGINT) AS taken
+FROM placed
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe_roundtrip
 from .lm import op10_lm_scores
 from .materialise import op6_training_order
+from .mixing import ORACLE as OP1_SQL
 from .mixing import op1_source_mix
 from .permutation import op7_permutation_index
 from .quality import op8_quality_rff
@@ -27,5 +28,6 @@ QUERIES = {
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": OP1_SQL,
     "op4_exact_top_k": OP4_SQL,
 }
