@@ -18,21 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathkin.llm.bpe import encode_decode, vocabulary_path
-from pathkin.llm.common import durable, table
+from pathkin.llm.common import durable, if_small, table
 from pathkin.llm.mixing import mixed_documents
 from pathkin.llm.secrets import redacted
 from pathkin.llm.simhash import similar_groups
-from pathkin.llm.toxicity import toxicity
+from pathkin.llm.toxicity import without_toxic
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(scores, docs["doc_id"].eqNullSafe(scores["_id"]), "left_anti")
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = similar_groups(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["_id"], "left_anti")
+    copies = similar_groups(docs).filter("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(if_small(durable(copies, "copies")), F.col("doc_id") == F.col("_id"), "left_anti")
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,12 @@ def id_bucket(column: str, modulus: int) -> Column:
 def words(data: bytes) -> list[bytes]:
     """The words of UTF-8 text with A-Z lowered; bytes.split() parts at exactly U+0020 and U+0009 to U+000D."""
     return data.translate(ASCII_LOWER).split()
+
+
+#: Rows of at most a few numbers each that are sent to every executor: tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """ids (a written table of a few numbers a row), marked for broadcast if it has few enough rows; else any join of it is a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

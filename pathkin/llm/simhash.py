@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table, tune, words
+from .common import durable, if_small, table, tune, words
 from .components import components
 
 SEED = 42
@@ -226,7 +226,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     Equal shingle sets always link. Others link if they share a box (16 boxes find a pair at
     0.8 with probability over 0.99), have fingerprints within ``widest`` bits, and pass the comparison of their sets. Up
     to ``pairwise`` different texts in a box are compared pair by pair; in a fuller
-    box each is compared with the three before it in the order of fingerprints and with the smallest,
+    box each is compared with the one before it in the order of fingerprints and with the smallest,
     in each of its boxes anew. First each text is compared with its smallest and its largest candidate; after that only
     candidates that are not in one component yet are. Texts without words are alike. doc_id must be a number; rows that share one are one text's.
     """
@@ -239,43 +239,36 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         for batch in batches:
             sets = [distinct_hashes((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
             whole = np.array([majority(h, np.array([0, len(h)]))[0] for h in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array(whole), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([box_keys(h, similarity, boxes) for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "key", "boxes"])
+            columns = [batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array(whole), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([box_keys(h, similarity, boxes) for h in sets], pa.list_(pa.int64())), pa.array([bottom_sketch(h, bottom) for h in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "key", "boxes", "low"])
 
-    marked = durable(docs.mapInArrow(describe, "doc_id bigint, n int, fp bigint, key bigint, boxes array<bigint>"), "similar-sets")
+    marked = durable(docs.mapInArrow(describe, "doc_id bigint, n int, fp bigint, key bigint, boxes array<bigint>, low binary"), "similar-sets")
     lows = durable(marked.groupBy("key").agg(F.min("doc_id").alias("id")), "similar-keys")
-    posted = marked.dropDuplicates(["key"]).select("key", "n", "fp", F.explode("boxes").alias("box"))
+    posted = marked.select("key", "n", "fp", "boxes").dropDuplicates(["key"]).select("key", "n", "fp", F.explode("boxes").alias("box"))
     posted = durable(posted, "similar-posts")
     crowded = posted.groupBy("box").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     met = durable(posted.join(crowded, "box"), "similar-boxes")
 
-    def near(a: str, b: str) -> Column:
-        close = F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= widest
-        return close & (F.least(f"{a}n", f"{b}n") >= F.greatest(f"{a}n", f"{b}n") * F.lit(similarity)) & (F.col(f"{a}key") != F.col(f"{b}key"))
+    def near(key: Column, n: Column, fp: Column) -> Column:
+        """Whether the row's set can be similar to another one's."""
+        close = F.bit_count(F.col("fp").bitwiseXOR(fp)) <= widest
+        return close & (F.least(F.col("n"), n) >= F.greatest(F.col("n"), n) * F.lit(similarity)) & (F.col("key") != key)
 
     few, many = met.filter(F.col("c") <= pairwise).drop("c"), met.filter(F.col("c") > pairwise).drop("c")
     other = few.select(*[F.col(c).alias(f"o_{c}") for c in few.columns])
-    pairs = few.join(other, (F.col("box") == F.col("o_box")) & (F.col("key") < F.col("o_key")) & near("", "o_")).select("key", "o_key")
+    pairs = few.join(other, (F.col("box") == F.col("o_box")) & (F.col("key") < F.col("o_key")) & near(F.col("o_key"), F.col("o_n"), F.col("o_fp"))).select("key", "o_key")
     # a full box is parted by 16 bits of the fingerprint before its members are ordered, so that no task holds it whole
     heads = many.groupBy("box").agg(F.min(F.struct("fp", "key", "n")).alias("head"))
     order = Window.partitionBy("box", F.shiftrightunsigned("fp", 48)).orderBy("fp", "key")
-    ahead = [F.lag(F.struct("fp", "key", "n"), k).over(order) for k in (1, 2, 3)]
-    linked = many.withColumn("ahead", F.array(*ahead)).join(heads, "box").select("key", "n", "fp", F.explode(F.array_append("ahead", F.col("head"))).alias("o"))
-    linked = linked.filter("o IS NOT NULL").select("key", "n", "fp", F.col("o.key").alias("o_key"), F.col("o.n").alias("o_n"), F.col("o.fp").alias("o_fp")).filter(near("", "o_"))
-    both = pairs.unionByName(linked.select("key", "o_key")).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    beside = many.withColumn("ahead", F.lag(F.struct("fp", "key", "n"), 1).over(order)).join(heads, "box")
+    chosen = F.filter(F.array_compact(F.array("ahead", "head")), lambda o: near(o["key"], o["n"], o["fp"]))
+    linked = beside.select("key", F.explode(F.transform(chosen, lambda o: o["key"])).alias("o_key"))
+    both = pairs.unionByName(linked).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
     pairs = durable(both.distinct(), "similar-candidates")
 
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     asked = durable(lows.join(asked, "key").select("key", F.col("id").alias("doc_id")), "similar-asked")
-
-    def sketches(batches):
-        for batch in batches:
-            sets = [distinct_hashes((t or "").encode(), shingle_words) for t in batch.column(1).to_pylist()]
-            own = pa.array([set_key(h) == k for h, k in zip(sets, batch.column(0).to_pylist())], pa.bool_())  # another text may share the doc_id
-            yield pa.RecordBatch.from_arrays([c.filter(own) for c in (batch.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([bottom_sketch(h, bottom) for h in sets], pa.binary()))], ["key", "n", "low"])
-
-    sketched = docs.join(asked, "doc_id").select("key", "text").mapInArrow(sketches, "key bigint, n int, low binary").dropDuplicates(["key"])
-    sketched = durable(sketched, "similar-sketches")
+    sketched = durable(marked.select("key", "n", "low").join(if_small(asked.select("key")), "key").dropDuplicates(["key"]), "similar-sketches")
     margin = 2 / bottom**0.5  # over four standard deviations of a sketch's estimate at 0.8
 
     def estimate(batches):
@@ -302,7 +295,7 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
         found = durable(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "low_a", "n_b", "low_b").mapInArrow(estimate, "a bigint, b bigint, sure boolean"), "similar-found")
         unsure = found.filter("not sure").select("a", "b")
         needed = unsure.select(F.col("a").alias("key")).union(unsure.select(F.col("b").alias("key"))).distinct()
-        texts = docs.join(asked.join(needed, "key"), "doc_id").dropDuplicates(["key"])
+        texts = docs.join(if_small(durable(asked.join(needed, "key"), "similar-open")), "doc_id").dropDuplicates(["key"])
         text = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
         open_ = unsure.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
         return durable(open_.unionByName(found.filter("sure").select("a", "b")), "similar-links")

@@ -135,6 +135,23 @@ def score_texts(docs: DataFrame, model: tuple[dict[bytes, float], float], holdou
     return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, holdout=(5, 0), threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns, in one pass over the texts."""
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, holdout, **options))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        weights, intercept = shared.value
+        for batch in batches:
+            z = [intercept + sum(weights[w] for w in sorted(terms(t) & weights.keys())) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(sigmoid(np.array(z)) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, holdout=(5, 0), **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
