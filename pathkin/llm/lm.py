@@ -10,7 +10,8 @@ distinct words and distinct (context, successor) pairs and their counts in train
 all batches sent, builds its part of the trie, looks up all the pairs it was asked for, and
 answers each batch with one message. Batches then score their texts. Words and pairs meet in a shard once for each
 batch, however often they occur; contexts that make up more than about 1/1024 of all tokens (at most 1024 of them) are
-spread over all shards by successor. All sizes grow in proportion to the corpus, and no task holds more than a batch or a shard.
+spread over all shards by successor. A batch writes to the shards that it has words or pairs for, so that there are no more
+messages than distinct words and pairs. All sizes grow in proportion to the corpus, and no task holds more than a batch or a shard.
 
 A shard's trie: contexts as an Elias-Fano sequence; Elias-Fano pointers to where each context's successors
 start; successors as one Elias-Fano sequence, made monotone by the number of the context; and one byte for
@@ -198,17 +199,24 @@ class Batch:
         self.counts = np.bincount(self.tokens[self.training], minlength=len(self.hashes))
         self.pair_counts = np.bincount(self.pair_of[self.training], minlength=len(pairs))
 
-    def word_shards(self, shards: int) -> np.ndarray:
-        """Where the words of each shard start in hashes: shards are ranges of hashes."""
-        return np.searchsorted(shard_of(self.hashes, shards), np.arange(shards + 1))
-
-    def pair_shards(self, shards: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs in the order of shards, and where each shard's start."""
-        to = shard_of(self.hashes, shards)[self.before]
+    def deal(self, shards: int, hot: np.ndarray) -> None:
+        """Gives each word and each pair its shard. Words of a shard are a range of hashes; pairs go with their context, those of hot contexts by hash of the pair."""
+        self.word_shard = shard_of(self.hashes, shards)
+        to = self.word_shard[self.before]
         spread = np.isin(self.hashes, hot)[self.before]
         to[spread] = shard_of((self.hashes[self.before[spread]] ^ self.hashes[self.after[spread]]) * np.uint64(0x9E3779B97F4A7C15), shards)
-        order = np.argsort(to, kind="stable")
-        return order, np.searchsorted(to[order], np.arange(shards + 1))
+        self.order = np.argsort(to, kind="stable")
+        self.pair_shard = to[self.order]
+
+    def present(self) -> list[int]:
+        """The shards that hold any of the batch's words or pairs."""
+        return np.union1d(self.word_shard, self.pair_shard).tolist()
+
+    def words_of(self, shard: int) -> slice:
+        return slice(*np.searchsorted(self.word_shard, (shard, shard + 1)))
+
+    def pairs_of(self, shard: int) -> np.ndarray:
+        return self.order[slice(*np.searchsorted(self.pair_shard, (shard, shard + 1)))]
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -254,12 +262,13 @@ def answer(messages: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, start
     return out, int((counts > 0).sum()), hot_types
 
 
-def message(batch: Batch, words_from: int, words_to: int, pairs: np.ndarray) -> bytes:
+def message(batch: Batch, shard: int) -> bytes:
     """What a batch tells a shard: words and counts, and pairs grouped by context."""
+    own, pairs = batch.words_of(shard), batch.pairs_of(shard)
     before, keys = batch.before[pairs], batch.hashes[batch.after[pairs]] >> np.uint64(64 - KEY_BITS)
     contexts, sizes = np.unique(before, return_counts=True)  # pairs come sorted by context
     return pack(
-        batch.hashes[words_from:words_to], batch.counts[words_from:words_to].astype("<u4"), batch.hashes[contexts], sizes.astype("<u4"),
+        batch.hashes[own], batch.counts[own].astype("<u4"), batch.hashes[contexts], sizes.astype("<u4"),
         (keys >> np.uint64(KEY_BITS - 32)).astype("<u4"), batch.pair_counts[pairs].astype("<u4"), (keys & np.uint64((1 << (KEY_BITS - 32)) - 1)).astype(np.uint8),
     )
 
@@ -341,14 +350,9 @@ def lm_scores(docs: DataFrame, holdout=(5, 1), batch_tokens: int = 1_000_000) ->
         for batch in rows:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = Batch(data)
-                starts = b.word_shards(shards)
-                order, pairs = b.pair_shards(shards, hot)
-                for s in range(shards):
-                    if starts[s + 1] > starts[s] or pairs[s + 1] > pairs[s]:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([message(b, starts[s], starts[s + 1], order[pairs[s] : pairs[s + 1]])], pa.binary())],
-                            ["shard", "batch", "data"],
-                        )
+                b.deal(shards, hot)
+                for s in b.present():
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([message(b, s)], pa.binary())], ["shard", "batch", "data"])
 
     counts = {r["word"]: r["n"] for r in batches.select("data").mapInArrow(hot_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     hot_counts = np.array([counts.get(w, 0) for w in hot.view(np.int64).tolist()], np.int64)
@@ -369,10 +373,9 @@ def lm_scores(docs: DataFrame, holdout=(5, 1), batch_tokens: int = 1_000_000) ->
     def score(own, got):
         b = Batch(own["data"][0].as_py())
         counts, fanout, codes = np.zeros(len(b.hashes), np.int64), np.zeros(len(b.hashes), np.int64), np.zeros(len(b.before), np.uint8)
-        starts = b.word_shards(shards)
-        order, pairs = b.pair_shards(shards, hot)
+        b.deal(shards, hot)
         for s, data in zip(got["shard"].to_pylist(), got["data"].to_pylist()):
-            counts[starts[s] : starts[s + 1]], fanout[starts[s] : starts[s + 1]], codes[order[pairs[s] : pairs[s + 1]]] = unpack(data, "<u8", "<u4", np.uint8)
+            counts[b.words_of(s)], fanout[b.words_of(s)], codes[b.pairs_of(s)] = unpack(data, "<u8", "<u4", np.uint8)
         base = (counts + 0.5) / whole
         context = counts.copy()
         context[b.start] = train_texts
