@@ -79,3 +79,8 @@ def test_set_stats(pairs: DataFrame) -> DataFrame:
     counts = pairs.rollup("label").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce(F.concat(F.lit("pairs_"), "label"), F.lit("pairs")).alias("measure"), "n")
     templates = pairs.select(F.explode(F.array("left_raw", "right_raw")).alias("t")).distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit("templates").alias("measure"), "n")
     return counts.unionByName(templates)
+
+
+def first_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
+    """The first k pairs, positive lists before negative ones, in the order of their templates."""
+    return pairs.orderBy("precedence", "left_raw", "right_raw").limit(k)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import argparse
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.extract import extract_triples
 from ..operators.parse import parse_lines, rejected_lines, valid_records
@@ -37,6 +39,13 @@ def build(lines: DataFrame, pairs: DataFrame, weight: str = "reference") -> Resu
     return Results(rejected_lines(parsed), triples, marginals(triples), mi, denoms, numer, labelled(similarity(numer, denoms), pairs))
 
 
+def volumes(results: Results) -> DataFrame:
+    """(stage, records): how many rows each table of a run has."""
+    tables = {name: getattr(results, name) for name in ("triples", "marginals", "mi", "denominators", "numerators", "similarity")}
+    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("stage"), "records") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def run_pipeline(spark: SparkSession, corpus: str, positive: str, negative: str, out: str, weight: str = "reference") -> Results:
     """Reads corpus and test files, writes (p1, p2, label, s) sorted by pair as tab-separated text to out. An error stops the run; negative labels win over positive ones."""
     results = build(read_lines(spark, corpus), load_test_pairs(spark, [positive, negative]), weight)

@@ -12,6 +12,7 @@ from ..functions.stemming import stem_table
 from ..operators import evaluate, extract, parse, similarity, stats, testset
 from ..sources import generated
 from ..sources.tsv import read_keyed_value, read_tsv, write_tsv
+from .pipeline import build, volumes
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,6 +132,14 @@ def testset_stats(spark, sf):
     return testset.test_set_stats(generated.test_pairs(spark))
 
 
+def testset_sample(spark, sf):
+    return testset.first_pairs(generated.test_pairs(spark)).select("left_raw", "right_raw", "label")
+
+
+def stage_volumes(spark, sf):
+    return volumes(build(generated.corpus_lines(spark, sf), _pairs(spark)))
+
+
 def stem_verbs(spark, sf):
     return stem_table(generated.base_rows(spark, sf), "verb")
 
@@ -174,7 +183,7 @@ QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         corpus_parse_tokens, corpus_rejects, pos_class_counts, noun_pairs, dependency_paths, predicate_keys, slot_events, triple_counts, marginals, mutual_information, denominators,
-        shared_features, numerators, similarity_, similarity_labeled, testset_normalized, testset_stats, stem_verbs, threshold_sweep, confusion_matrix, error_samples, run_comparison, similarity_sorted, tsv_roundtrip,
+        shared_features, numerators, similarity_, similarity_labeled, testset_normalized, testset_stats, testset_sample, stage_volumes, stem_verbs, threshold_sweep, confusion_matrix, error_samples, run_comparison, similarity_sorted, tsv_roundtrip,
     )
 }
 
@@ -269,6 +278,10 @@ ORACLE_SQL = {
     "testset_normalized": f"WITH {_PAIRS} SELECT * FROM pairs",
     "testset_stats": f"""WITH w(l, r, label) AS (VALUES {', '.join(str(p) for p in generated.TEST_PAIRS)})
       SELECT 'pairs' AS measure, count(*) AS n FROM w UNION ALL SELECT 'pairs_' || label, count(*) FROM w GROUP BY label UNION ALL SELECT 'templates', count(*) FROM (SELECT l FROM w UNION SELECT r FROM w)""",
+    "testset_sample": f"SELECT * FROM (VALUES {', '.join(str(p) for p in generated.TEST_PAIRS)}) t(left_raw, right_raw, label) ORDER BY label <> 'POS', left_raw, right_raw LIMIT 5",
+    "stage_volumes": f"""{_SIMILAR}, m AS (SELECT 1 FROM triples GROUP BY GROUPING SETS ((p, slot), (slot, w), (slot)))
+      SELECT 'triples' AS stage, count(*) AS records FROM triples UNION ALL SELECT 'marginals', count(*) FROM m UNION ALL SELECT 'mi', count(*) FROM mi UNION ALL SELECT 'denominators', count(*) FROM den
+      UNION ALL SELECT 'numerators', count(*) FROM num UNION ALL SELECT 'similarity', count(*) FROM sim""",
     "stem_verbs": f"{_CORPUS} SELECT verb AS word, stem FROM stems WHERE verb IN (SELECT verb FROM base)",
     "threshold_sweep": f"""{_EVALUATED}, e AS (SELECT s, count(*) FILTER (label = 'POS') AS pos, count(*) FILTER (label = 'NEG') AS neg FROM sc GROUP BY s),
       r AS (SELECT s AS t, CAST(sum(pos) OVER d AS BIGINT) AS tp, CAST(sum(neg) OVER d AS BIGINT) AS fp, CAST(sum(neg) OVER () - sum(neg) OVER d AS BIGINT) AS tn, CAST(sum(pos) OVER () - sum(pos) OVER d AS BIGINT) AS fn
