@@ -42,11 +42,11 @@ def by_hash(ids: DataFrame, n: int, seed: int) -> DataFrame:
 class Csr:
     """Rows of present features."""
 
-    def __init__(self, rows: list[list[int]], width: int):
+    def __init__(self, rows: list, width: int):
         self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.at = np.fromiter((i for r in rows for i in r), np.int64, int(self.sizes.sum()))
+        self.at = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r, np.int32) for r in rows]])
         self.width = width
-        self.rows = np.repeat(np.arange(len(rows)), self.sizes)
+        self.rows = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, weights=w[self.at], minlength=len(self.sizes))
@@ -110,7 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, holdout=(5, 0), positives: int = 3
     rows = sorted((r["pos"], bytes(r["bag"])) for r in sample.toLocalIterator())
     found = Counter(w for _, bag in rows for w in bag.split())
     index = {w: k for k, w in enumerate(sorted(w for w, c in found.items() if c >= least_texts))}
-    coded = [(pos, [index[w] for w in bag.split() if w in index]) for pos, bag in rows]
+    del found
+    coded = [(pos, np.array([index[w] for w in bag.split() if w in index], np.int32)) for pos, bag in rows]
+    del rows
     weights, intercept = fit(Csr([r for pos, r in coded if pos], len(index)), Csr([r for pos, r in coded if not pos], len(index)), prior)
     return {w: float(weights[k]) for w, k in index.items() if weights[k]}, intercept
 
