@@ -53,7 +53,9 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("kind") == 7
     count = F.when(bad & (F.col("l_linenumber") % 3 == 1), F.lit("NaNcount")).otherwise(F.col("n").cast("string"))
     line = F.when(bad & (F.col("l_linenumber") % 3 == 2), cat("verb", F.lit("\t"), ngram)).otherwise(cat("verb", F.lit("\t"), ngram, F.lit("\t"), count, F.lit("\t1990,1")))
-    return base_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "status", line.alias("value"))
+    # the tables are small for the work that each line is, so that their few splits would leave cores idle; a corpus on disk is read as it is split
+    rows = base_rows(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
+    return rows.select("l_orderkey", "l_linenumber", "status", line.alias("value"))
 
 
 def test_pairs(spark: SparkSession) -> DataFrame:
