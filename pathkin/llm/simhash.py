@@ -30,6 +30,8 @@ from .common import durable, if_small, table, tune, words
 from .components import components
 
 SEED = 42
+#: Parts that the texts of a full box are dealt to.
+SALTS = 8
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -227,8 +229,10 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     0.8 with probability over 0.99), have fingerprints within ``widest`` bits, and pass the comparison of their sets. Up
     to ``pairwise`` different texts in a box are compared pair by pair; in a fuller
     box each is compared with the one before it in the order of fingerprints and with the smallest,
-    in each of its boxes anew. First each text is compared with its smallest and its largest candidate; after that only
-    candidates that are not in one component yet are. Texts without words are alike. doc_id must be a number; rows that share one are one text's.
+    in each of its boxes anew. First each text is compared with its smallest and its largest candidate; after that
+    all candidates that are not in one component yet are, and in a fuller box all texts outside its largest component
+    with every text of another component there. So no pair that shares a box goes uncompared, unless both are linked already.
+    Texts without words are alike. doc_id must be a number; rows that share one are one text's.
     """
     import pyarrow as pa
 
@@ -266,9 +270,6 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     both = pairs.unionByName(linked).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
     pairs = durable(both.distinct(), "similar-candidates")
 
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    asked = durable(lows.join(asked, "key").select("key", F.col("id").alias("doc_id")), "similar-asked")
-    sketched = durable(marked.select("key", "n", "low").join(if_small(asked.select("key")), "key").dropDuplicates(["key"]), "similar-sketches")
     margin = 2 / bottom**0.5  # over four standard deviations of a sketch's estimate at 0.8
 
     def estimate(batches):
@@ -289,24 +290,46 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
                 keep.append(same >= similarity * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
 
+    def ends_of(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("key")).union(some.select(F.col("b").alias("key"))).distinct()
+
     def verified(some: DataFrame) -> DataFrame:
-        """The pairs of some (a, b) that are similar: by sketches, and by the texts where these leave it open."""
+        """The pairs of some (a, b: a written table) that are similar: by sketches, and by the texts where these leave it open."""
+        asked = durable(lows.join(ends_of(some), "key").select("key", F.col("id").alias("doc_id")), "similar-asked")
+        sketched = durable(marked.select("key", "n", "low").join(if_small(asked.select("key")), "key").dropDuplicates(["key"]), "similar-sketches")
         side = lambda c: sketched.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
         found = durable(some.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "low_a", "n_b", "low_b").mapInArrow(estimate, "a bigint, b bigint, sure boolean"), "similar-found")
         unsure = found.filter("not sure").select("a", "b")
-        needed = unsure.select(F.col("a").alias("key")).union(unsure.select(F.col("b").alias("key"))).distinct()
-        texts = docs.join(if_small(durable(asked.join(needed, "key"), "similar-open")), "doc_id").dropDuplicates(["key"])
+        texts = docs.join(if_small(durable(asked.join(ends_of(unsure), "key"), "similar-open")), "doc_id").dropDuplicates(["key"])
         text = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
         open_ = unsure.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
         return durable(open_.unionByName(found.filter("sure").select("a", "b")), "similar-links")
 
     around = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
     ends = around.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).select("u", F.explode(F.array("low", "high")).alias("v"))
-    links = verified(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    links = verified(durable(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "similar-ends"))
     known = components(links, "similar-first")
     place = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     apart = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-    reached = components(links.unionByName(verified(apart)), "similar-second")
+
+    # full boxes: whoever is outside a box's largest component meets all of the box's other components
+    inside = many.join(place("key"), "key", "left").withColumn("inside", F.coalesce("key_in", "key")).drop("key_in")
+    inside = durable(inside, "similar-full")
+    parts = inside.groupBy("box", "inside").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.groupBy("box").agg(F.max_by("inside", F.struct("size", "inside")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    divided = durable(inside.join(if_small(durable(parts.select("box", "main"), "similar-parts")), "box"), "similar-divided")
+    wide = max(1e-3, -float(np.log(similarity)) * (1 + 1e-9))
+    band = F.floor(F.log("n") / F.lit(wide)).cast("int")  # sizes of similar sets are one band apart at most
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
+    rest = divided.select("box", "key", "n", "fp", "inside", "main", band.alias("band"), salt.alias("salt"))
+    outside = divided.filter("inside != main").select(*[F.col(c).alias(f"o_{c}") for c in ("box", "key", "n", "fp", "inside")], band.alias("at"))
+    outside = outside.withColumn("o_band", F.explode(F.array(F.col("at") - 1, "at", F.col("at") + 1))).withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    meet = (F.col("box") == F.col("o_box")) & (F.col("band") == F.col("o_band")) & (F.col("salt") == F.col("o_salt")) & (F.col("inside") != F.col("o_inside"))
+    # two that are both outside meet twice: once is enough
+    once = (F.col("inside") == F.col("main")) | (F.col("key") < F.col("o_key"))
+    crossing = rest.join(outside, meet & once & near(F.col("o_key"), F.col("o_n"), F.col("o_fp"))).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    late = durable(apart.unionByName(crossing).distinct(), "similar-late")
+    reached = components(links.unionByName(verified(late)), "similar-second") if not late.isEmpty() else known
     grouped = lows.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = grouped.join(ids, "component").select("key", "component_id")

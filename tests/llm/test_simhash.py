@@ -79,3 +79,19 @@ def test_similar_groups(docs, rows, none, spark):
     rng = np.random.default_rng(0)
     copies = [(k, " ".join(w if i != c else f"new{k}" for i, w in enumerate(base))) for k, c in enumerate(rng.integers(0, 120, 80).tolist())]
     assert {r.component_id for r in similar_groups(spark.createDataFrame(copies, "doc_id bigint, text string"), pairwise=4).collect()} == {0}
+
+
+def test_full_boxes_lose_no_link(spark):
+    # texts that share most of a passage without being alike, a few pairs among them that are, and a large group of near copies
+    passage = [f"p{k}" for k in range(80)]
+    rng = random.Random(4)
+    texts = [passage + [f"t{d}x{k}" for k in range(rng.randint(30, 45))] for d in range(40)]
+    texts += [t[:-1] + ["changed"] for t in texts[::3]]
+    texts += [passage[:c] + [f"n{c}"] + passage[c + 1 :] for c in range(0, 80, 2)]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: frozenset(shingle_hashes(t.encode(), 5)) for k, t in rows}
+    want = groups(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for pairwise in (1, 3, 16):
+        assert {r.doc_id: r.component_id for r in similar_groups(docs, pairwise=pairwise).collect()} == want
