@@ -30,7 +30,7 @@ from .common import durable, if_small, table, tune, words
 from .components import components
 
 SEED = 42
-#: Parts that the texts of a full box are dealt to.
+#: Parts that the texts with a common shingle are dealt to.
 SALTS = 8
 _LANES = np.uint64(0x0101010101010101)
 
@@ -230,8 +230,9 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     to ``pairwise`` different texts in a box are compared pair by pair; in a fuller
     box each is compared with the one before it in the order of fingerprints and with the smallest,
     in each of its boxes anew. First each text is compared with its smallest and its largest candidate; after that
-    all candidates that are not in one component yet are, and in a fuller box all texts outside its largest component
-    with every text of another component there. So no pair that shares a box goes uncompared, unless both are linked already.
+    all candidates that are not in one component yet are. The texts of fuller boxes with several components then meet
+    over shingles: a similar pair shares one of the rarest shingles of both (prefix filtering: the first tenth of the smaller, the
+    first fifth of the larger). So no pair that shares a box goes uncompared, unless both are linked already.
     Texts without words are alike. doc_id must be a number; rows that share one are one text's.
     """
     import pyarrow as pa
@@ -312,22 +313,38 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     place = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     apart = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
 
-    # full boxes: whoever is outside a box's largest component meets all of the box's other components
-    inside = many.join(place("key"), "key", "left").withColumn("inside", F.coalesce("key_in", "key")).drop("key_in")
+    # full boxes that hold several components: their texts meet over rare shingles
+    inside = many.select("box", "key").join(place("key"), "key", "left").withColumn("inside", F.coalesce("key_in", "key")).drop("key_in")
     inside = durable(inside, "similar-full")
-    parts = inside.groupBy("box", "inside").agg(F.count(F.lit(1)).alias("size"))
-    parts = parts.groupBy("box").agg(F.max_by("inside", F.struct("size", "inside")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    divided = durable(inside.join(if_small(durable(parts.select("box", "main"), "similar-parts")), "box"), "similar-divided")
-    wide = max(1e-3, -float(np.log(similarity)) * (1 + 1e-9))
-    band = F.floor(F.log("n") / F.lit(wide)).cast("int")  # sizes of similar sets are one band apart at most
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    rest = divided.select("box", "key", "n", "fp", "inside", "main", band.alias("band"), salt.alias("salt"))
-    outside = divided.filter("inside != main").select(*[F.col(c).alias(f"o_{c}") for c in ("box", "key", "n", "fp", "inside")], band.alias("at"))
-    outside = outside.withColumn("o_band", F.explode(F.array(F.col("at") - 1, "at", F.col("at") + 1))).withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    meet = (F.col("box") == F.col("o_box")) & (F.col("band") == F.col("o_band")) & (F.col("salt") == F.col("o_salt")) & (F.col("inside") != F.col("o_inside"))
-    # two that are both outside meet twice: once is enough
-    once = (F.col("inside") == F.col("main")) | (F.col("key") < F.col("o_key"))
-    crossing = rest.join(outside, meet & once & near(F.col("o_key"), F.col("o_n"), F.col("o_fp"))).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    divided = inside.groupBy("box").agg(F.min("inside").alias("low"), F.max("inside").alias("high")).filter("low != high").select("box")
+    members = inside.join(if_small(durable(divided, "similar-divided")), "box").select("key", "inside").distinct()
+    members = durable(members.join(lows, "key").select("key", "inside", F.col("id").alias("doc_id")), "similar-members")
+
+    def explode(batches):
+        for batch in batches:
+            for key, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                h = distinct_hashes((text or "").encode(), shingle_words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(np.full(len(h), own)), pa.array(h.view(np.int64))], ["key", "inside", "h"])
+
+    texts = docs.join(if_small(members), "doc_id").dropDuplicates(["key"]).select("key", "inside", "text")
+    shingles = durable(texts.mapInArrow(explode, "key bigint, inside bigint, h bigint"), "similar-shingles")
+    held = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # the order of shingles: those of one text, then by the number of texts; a pair must share one of its first few
+    placed = shingles.join(held, "h").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "h")))
+    sizes = marked.select("key", "n", "fp").join(if_small(members.select("key")), "key").dropDuplicates(["key"])
+    alone = F.col("n") - F.max("place").over(Window.partitionBy("key"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1 - F.col("alone")
+    posts = placed.join(sizes, "key").withColumn("alone", alone).filter(F.col("place") <= first(similarity))
+    posts = posts.select("key", "inside", "n", "fp", "h", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    posts = durable(posts, "similar-rare")
+    parts = posts.groupBy("h", "inside").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.groupBy("h").agg(F.max_by("inside", F.struct("size", "inside")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
+    rest = durable(posts.join(parts, "h"), "similar-parted")
+    outside = rest.filter("inside != main").select(*[F.col(c).alias(f"o_{c}") for c in ("h", "key", "n", "fp", "inside", "short")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("o_salt"))
+    meet = (F.col("h") == F.col("o_h")) & (F.col("salt") == F.col("o_salt")) & (F.col("inside") != F.col("o_inside"))
+    # the smaller needs to hold the shingle in its short prefix; two that are both outside meet twice, once is enough
+    meet &= (F.col("short") | (F.col("n") > F.col("o_n"))) & (F.col("o_short") | (F.col("n") < F.col("o_n"))) & ((F.col("inside") == F.col("main")) | (F.col("key") < F.col("o_key")))
+    crossing = rest.join(outside, meet & near(F.col("o_key"), F.col("o_n"), F.col("o_fp"))).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
     late = durable(apart.unionByName(crossing).distinct(), "similar-late")
     reached = components(links.unionByName(verified(late)), "similar-second") if not late.isEmpty() else known
     grouped = lows.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
