@@ -311,7 +311,6 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     links = verified(durable(ends.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "similar-ends"))
     known = components(links, "similar-first")
     place = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    apart = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
 
     # full boxes that hold several components: their texts meet over rare shingles
     inside = many.select("box", "key").join(place("key"), "key", "left").withColumn("inside", F.coalesce("key_in", "key")).drop("key_in")
@@ -335,8 +334,18 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     alone = F.col("n") - F.max("place").over(Window.partitionBy("key"))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1 - F.col("alone")
     posts = placed.join(sizes, "key").withColumn("alone", alone).filter(F.col("place") <= first(similarity))
-    posts = posts.select("key", "inside", "n", "fp", "h", (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    posts = posts.select("key", "inside", "n", "fp", "h", (F.col("alone") / F.col("n")).alias("own"), (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     posts = durable(posts, "similar-rare")
+
+    # first each meets the text of its lists with the least shingles of its own (what copies were made from), and the one before it
+    heads = posts.groupBy("h").agg(F.min(F.struct("own", "key", "n", "fp", "inside")).alias("head"), F.min("inside").alias("low"), F.max("inside").alias("high")).filter("low != high").select("h", "head")
+    ahead = F.lag(F.struct("own", "key", "n", "fp", "inside"), 1).over(Window.partitionBy("h", F.shiftrightunsigned("fp", 60)).orderBy("fp", "key"))
+    chosen = F.filter(F.array_compact(F.array("ahead", "head")), lambda o: near(o["key"], o["n"], o["fp"]) & (o["inside"] != F.col("inside")))
+    linked = posts.withColumn("ahead", ahead).join(heads, "h").select("key", F.explode(F.transform(chosen, lambda o: o["key"])).alias("o_key"))
+    early = durable(linked.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct(), "similar-early")
+    links = durable(links.unionByName(verified(early)), "similar-linked")
+    known = components(links, "similar-second")
+    posts = durable(posts.drop("inside").join(place("key"), "key", "left").withColumn("inside", F.coalesce("key_in", "key")).drop("key_in"), "similar-rare")
     parts = posts.groupBy("h", "inside").agg(F.count(F.lit(1)).alias("size"))
     parts = parts.groupBy("h").agg(F.max_by("inside", F.struct("size", "inside")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
     rest = durable(posts.join(parts, "h"), "similar-parted")
@@ -345,8 +354,9 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     # the smaller needs to hold the shingle in its short prefix; two that are both outside meet twice, once is enough
     meet &= (F.col("short") | (F.col("n") > F.col("o_n"))) & (F.col("o_short") | (F.col("n") < F.col("o_n"))) & ((F.col("inside") == F.col("main")) | (F.col("key") < F.col("o_key")))
     crossing = rest.join(outside, meet & near(F.col("o_key"), F.col("o_n"), F.col("o_fp"))).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    apart = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
     late = durable(apart.unionByName(crossing).distinct(), "similar-late")
-    reached = components(links.unionByName(verified(late)), "similar-second") if not late.isEmpty() else known
+    reached = components(links.unionByName(verified(late)), "similar-third") if not late.isEmpty() else known
     grouped = lows.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = grouped.join(ids, "component").select("key", "component_id")
