@@ -13,10 +13,12 @@ under themselves and their one-bit neighbours outside the run, where at most 65
 linked to the smallest there. That finds the same components from a linear number of rows.
 
 Similar texts (``similar_groups``): for sets of shingles with Jaccard similarity s or more the ring is made of boxes. The
-distinct shingles of a text are dealt to boxes by hash; the texts differ in so few shingles
-that many boxes hold equal sets (the first segment of a chain within its budget of less than one).
-A box is posted by the SimHash of its shingles. Candidates need whole-text fingerprints within a wide Hamming bound, then
-enough similarity by bottom sketches; where a sketch leaves it open, the texts' whole sets are compared.
+distinct shingles of a text are dealt to boxes by hash; most similar texts differ in so few shingles
+that some boxes hold equal sets. A box is posted by the SimHash of its shingles, and candidates need whole-text fingerprints
+within a wide Hamming bound. That only links most copies early, at little cost: boxes need not share a thing at similarity s.
+Then every text is posted under its rarest shingles (prefix filtering), of which any similar pair shares one, so that
+texts of different components that are similar always meet. Candidates need enough similarity by bottom sketches; where a sketch
+leaves it open, the texts' whole sets are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .components import components
 SEED = 42
 #: Parts that the texts with a common shingle are dealt to.
 SALTS = 8
+#: log2 of the number of buckets in which shingles are counted, and how many counts travel in a row.
+COUNT_BITS, CHUNK = 20, 4096
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -192,7 +196,7 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 def box_keys(hashes: np.ndarray, similarity: float, boxes: int) -> list[int]:
-    """Names of a set's first boxes: level, box, and SimHash and number of the shingles in it."""
+    """Names of a set's first boxes: level, box, and SimHash and number of the shingles in it. Similar sets mostly, not always, share one."""
     n, keys = len(hashes), []
     spread = mixed(hashes)
     # a similar set that is smaller may be on the level below
@@ -208,6 +212,47 @@ def box_keys(hashes: np.ndarray, similarity: float, boxes: int) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def posted_first(n: int, share: float) -> int:
+    """How many shingles of a set of n any set must share one of that holds at least the share of them."""
+    return n - int(np.ceil(n * share - 1e-9)) + 1 if n else 0
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a sorted set in the order of their buckets' counts, then of their hashes: a similar set shares one of them."""
+    rank = counts[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    return hashes[np.argsort(rank, kind="stable")[: posted_first(len(hashes), similarity)]]
+
+
+def shingle_counts(docs: DataFrame, shingle_words: int, every: int = 4) -> np.ndarray:
+    """How often the shingles of each bucket occur in every fourth text: a few MB, whatever the corpus.
+
+    Only the order of shingles follows from it, and any order finds the same pairs.
+    """
+    import pyarrow as pa
+
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist()[::every]:
+                h = distinct_hashes((text or "").encode(), shingle_words)
+                np.add.at(total, (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        rows = total.reshape(-1, CHUNK)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([rows[k].tobytes() for k in used], pa.binary())], ["chunk", "counts"])
+
+    def add(key, rows):
+        total = np.zeros(CHUNK, np.int64)
+        for value in rows["counts"].to_pylist():
+            total += np.frombuffer(value, np.int64)
+        return pa.table({"chunk": [key[0].as_py()], "counts": [total.tobytes()]})
+
+    found = docs.select("text").mapInArrow(count, "chunk bigint, counts binary").groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary")
+    out = np.zeros((1 << COUNT_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
+    for row in found.toLocalIterator():
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
+    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
+
+
 def bottom_sketch(hashes: np.ndarray, bottom: int) -> bytes:
     """The smallest mixed hashes, their upper halves."""
     return (np.sort(mixed(hashes))[:bottom] >> np.uint64(32)).astype("<u4").tobytes()
@@ -225,14 +270,14 @@ def sketch_similarity(n: int, m: int, a: bytes, b: bytes, bottom: int) -> float:
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, boxes: int = 16, bottom: int = 256, widest: int = 22, pairwise: int = 16) -> DataFrame:
     """(doc_id, component_id): groups of texts linked by Jaccard similarity of their word shingles.
 
-    Equal shingle sets always link. Others link if they share a box (16 boxes find a pair at
-    0.8 with probability over 0.99), have fingerprints within ``widest`` bits, and pass the comparison of their sets. Up
-    to ``pairwise`` different texts in a box are compared pair by pair; in a fuller
-    box each is compared with the one before it in the order of fingerprints and with the smallest,
-    in each of its boxes anew. First each text is compared with its smallest and its largest candidate; after that
-    all candidates that are not in one component yet are. The texts of fuller boxes with several components then meet
+    Equal shingle sets always link. First texts that share a box and have fingerprints within ``widest`` bits are
+    candidates: up to ``pairwise`` different texts in a box pair by pair; in a fuller
+    box each with the one before it in the order of fingerprints and with the smallest,
+    in each of its boxes anew. Each text is compared with its smallest and its largest candidate. Then all texts meet
     over shingles: a similar pair shares one of the rarest shingles of both (prefix filtering: the first tenth of the smaller, the
-    first fifth of the larger). So no pair that shares a box goes uncompared, unless both are linked already.
+    first fifth of the larger), and all that meet in different components are compared. So neither boxes nor fingerprints
+    decide a link; no pair goes uncompared unless both are linked already. Sets of more than ``bottom`` shingles are left to their sketches
+    where these are more than ``2 / sqrt(bottom)`` (five standard deviations at 0.8) from the similarity asked for.
     Texts without words are alike. doc_id must be a number; rows that share one are one text's.
     """
     import pyarrow as pa
@@ -312,29 +357,24 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     known = components(links, "similar-first")
     place = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
 
-    # full boxes that hold several components: their texts meet over rare shingles
-    inside = many.select("box", "key").join(place("key"), "key", "left").withColumn("inside", F.coalesce("key_in", "key")).drop("key_in")
-    inside = durable(inside, "similar-full")
-    divided = inside.groupBy("box").agg(F.min("inside").alias("low"), F.max("inside").alias("high")).filter("low != high").select("box")
-    members = inside.join(if_small(durable(divided, "similar-divided")), "box").select("key", "inside").distinct()
-    members = durable(members.join(lows, "key").select("key", "inside", F.col("id").alias("doc_id")), "similar-members")
+    # every text is posted under its rarest shingles; those that several rows post are kept
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, shingle_words))
 
-    def explode(batches):
+    def post(batches):
         for batch in batches:
-            for key, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 h = distinct_hashes((text or "").encode(), shingle_words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key)), pa.array(np.full(len(h), own)), pa.array(h.view(np.int64))], ["key", "inside", "h"])
-
-    texts = docs.join(if_small(members), "doc_id").dropDuplicates(["key"]).select("key", "inside", "text")
-    shingles = durable(texts.mapInArrow(explode, "key bigint, inside bigint, h bigint"), "similar-shingles")
-    held = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # the order of shingles: those of one text, then by the number of texts; a pair must share one of its first few
-    placed = shingles.join(held, "h").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "h")))
-    sizes = marked.select("key", "n", "fp").join(if_small(members.select("key")), "key").dropDuplicates(["key"])
-    alone = F.col("n") - F.max("place").over(Window.partitionBy("key"))
-    first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)) + 1 - F.col("alone")
-    posts = placed.join(sizes, "key").withColumn("alone", alone).filter(F.col("place") <= first(similarity))
-    posts = posts.select("key", "inside", "n", "fp", "h", (F.col("alone") / F.col("n")).alias("own"), (F.col("place") <= first(2 * similarity / (1 + similarity))).alias("short"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+                some = prefix(h, counts.value, similarity)
+                short = np.arange(len(some)) < posted_first(len(h), 2 * similarity / (1 + similarity))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), set_key(h))), pa.array(some.view(np.int64)), pa.array(short)], ["key", "h", "short"])
+
+    shingles = durable(docs.select("text").mapInArrow(post, "key bigint, h bigint, short boolean"), "similar-shingles")
+    held = durable(shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h"), "similar-held")
+    shared = durable(shingles.join(if_small(held), "h").dropDuplicates(["key", "h"]), "similar-shared")
+    sizes = marked.select("key", "n", "fp").dropDuplicates(["key"])
+    alone = F.lit(1.0) - F.count(F.lit(1)).over(Window.partitionBy("key")) / (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(1e-9)) + 1)
+    posts = shared.join(sizes, "key").join(place("key"), "key", "left").withColumn("own", alone)
+    posts = posts.select("key", F.coalesce("key_in", "key").alias("inside"), "n", "fp", "h", "own", "short", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     posts = durable(posts, "similar-rare")
 
     # first each meets the text of its lists with the least shingles of its own (what copies were made from), and the one before it
@@ -349,13 +389,13 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     parts = posts.groupBy("h", "inside").agg(F.count(F.lit(1)).alias("size"))
     parts = parts.groupBy("h").agg(F.max_by("inside", F.struct("size", "inside")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
     rest = durable(posts.join(parts, "h"), "similar-parted")
-    outside = rest.filter("inside != main").select(*[F.col(c).alias(f"o_{c}") for c in ("h", "key", "n", "fp", "inside", "short")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("o_salt"))
+    outside = rest.filter("inside != main").select(*[F.col(c).alias(f"o_{c}") for c in ("h", "key", "n", "inside", "short")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("o_salt"))
     meet = (F.col("h") == F.col("o_h")) & (F.col("salt") == F.col("o_salt")) & (F.col("inside") != F.col("o_inside"))
     # the smaller needs to hold the shingle in its short prefix; two that are both outside meet twice, once is enough
     meet &= (F.col("short") | (F.col("n") > F.col("o_n"))) & (F.col("o_short") | (F.col("n") < F.col("o_n"))) & ((F.col("inside") == F.col("main")) | (F.col("key") < F.col("o_key")))
-    crossing = rest.join(outside, meet & near(F.col("o_key"), F.col("o_n"), F.col("o_fp"))).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
-    apart = pairs.join(place("a"), "a", "left").join(place("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-    late = durable(apart.unionByName(crossing).distinct(), "similar-late")
+    meet &= F.least("n", "o_n") >= F.greatest("n", "o_n") * F.lit(similarity) - F.lit(1e-9)
+    crossing = rest.join(outside, meet).select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+    late = durable(crossing.distinct(), "similar-late")
     reached = components(links.unionByName(verified(late)), "similar-third") if not late.isEmpty() else known
     grouped = lows.join(reached.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = grouped.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -95,3 +95,20 @@ def test_full_boxes_lose_no_link(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     for pairwise in (1, 3, 16):
         assert {r.doc_id: r.component_id for r in similar_groups(docs, pairwise=pairwise).collect()} == want
+
+
+def test_short_texts_lose_no_link(spark):
+    # texts of 5 to 25 words and the same with words more, at a similarity of 0.8 to 0.9: differing shingles reach every box
+    texts = []
+    for trial in range(12):
+        for size in range(5, 26):
+            texts.append([f"v{trial}x{size}x{k}" for k in range(size)])
+            more = (size - 4) // 4 if trial % 2 else max(1, (size - 4) // 6)
+            texts.append(texts[-1] + [f"more{k}" for k in range(more)])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: frozenset(shingle_hashes(t.encode(), 5)) for k, t in rows}
+    want = groups(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert sum(k != v for k, v in want.items()) > 150
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for widest in (22, 0):  # fingerprints decide no link either
+        assert {r.doc_id: r.component_id for r in similar_groups(docs, widest=widest).collect()} == want
