@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-# Published formats of credentials, and names under which they are assigned.
+# Published formats of credentials, and names under which they are assigned. Values have no greatest length: a cut
+# one would leave its rest in the text. A run of hex digits is tried at its start (or after a match) only, so that scans stay linear.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,4000}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
     "aws_key": r"A(?:KI|SI)A[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"xox[abprs]-[0-9A-Za-z-]{10,}",
@@ -28,9 +29,9 @@ PATTERNS = {
     "payment_key": r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}",
     "api_secret": r"sk-[A-Za-z0-9_-]{20,}",
     "web_token": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
-    "url_password": r"(?<=://)[A-Za-z0-9._-]{1,40}:[^\s/:@\"']{6,80}@",
-    "assigned": r"(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access_key|auth_key|credential)[a-z0-9_-]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer )?[\"']?[^\s\"'<>,;(){}|]{8,200})",
-    "hex": r"[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "url_password": r"(?<=://)[A-Za-z0-9._-]++:[^\s/:@\"']{6,}+@",
+    "assigned": r"(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access_key|auth_key|credential)[a-z0-9_-]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer )?[\"']?[^\s\"'<>,;(){}|]{8,}+)",
+    "hex": r"(?:\G|(?<![0-9a-f]))[0-9a-f]{32,}+(?![0-9A-Za-z])",
 }
 #: Words that stand-ins and ordinary names are made of.
 DICTIONARY = "example sample test testing dummy placeholder changeme change your here insert enter default value none null true false undefined password passwd secret token apikey key user username admin root login account email name string config setting env process public private local host server database service client header request response session cookie index file path image data version release build master main branch module package function method class object array number text todo fixme xxxx abcdef 123456 qwerty letmein welcome foobar hello world".split()
