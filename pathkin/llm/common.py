@@ -15,8 +15,8 @@ _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 #: For bytes.translate: A-Z become a-z, nothing else changes (safe in UTF-8).
 ASCII_LOWER = bytes.maketrans(_UPPER, _LOWER)
-#: Rows handed to Python at once; texts can be long.
-ARROW_ROWS = 1000
+#: Rows and bytes handed to Python at once (one row at least); texts can be long.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -24,13 +24,36 @@ def tune(spark: SparkSession) -> SparkSession:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder under /tmp where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/pathkin/{spark.sparkContext.applicationId}"
+    """This application's part of the cluster's shared folder, spark.checkpoint.dir; it goes when the driver's JVM ends.
+
+    Where the setting is missing, as in tests, one machine runs everything and a folder under /tmp serves; a cluster without it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
+    path = f"{base.rstrip('/')}/pathkin/{spark.sparkContext.applicationId}"
+    if path not in _SHARED:
+        _SHARED.add(path)
+        files, at = _files(spark, path)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return path
+
+
+_SHARED: set[str] = set()
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM knows them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +64,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable() wrote and nothing reads any more."""
+    for t in tables:
+        files, at = _files(t.sparkSession, t.stored_at)
+        files.delete(at, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, with underscores before it until no column of the frames has it in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

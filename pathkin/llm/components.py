@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -34,6 +34,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         mark = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).first()
         if mark == seen or not mark["n"]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = mark
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out.stored_at = edges.stored_at
+            return out
+        seen, last = mark, edges
         edges = durable(_stars(_stars(edges, small=False), small=True), name)
+        discard(last)

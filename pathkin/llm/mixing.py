@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, table
+from .common import WORD, durable, free_name, table
 
 
 def word_count(text: Column) -> Column:
@@ -143,18 +143,20 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as its words were taken, rounded to whole documents.
 
-    Rows without words stay as they are, once. doc_id must tell the rows apart (rows that share one share its counts).
+    Rows without words stay as they are, once. Rows that share a doc_id (or have none) share its counts: each stays as often as all of
+    them together were taken of their words.
     """
+    one, times = free_name("mix_id", docs), free_name("mix_times", docs)
     counts = (
-        mix(docs, **options)
-        .groupBy("doc_id")
-        .agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-        .withColumn("_times", F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(1).cast("int"))
-        .select(F.col("doc_id").alias("_id"), "_times")
-        .filter("_times > 0")
+        mix(docs.select("doc_id", "text", "source"), **options)
+        .groupBy(F.col("doc_id").alias(one))
+        .agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+        .select(one, F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int").alias(times))
+        .filter(F.col(times) > 0)
     )
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts[one]))
+    copies = joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return copies.drop(one, times)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from pathkin.llm.quality import isotonic, quality
 from pathkin.llm.secrets import fit_forest, labelled_findings, redacted, secret_findings
-from pathkin.llm.toxicity import Csr, fit, nnpu_risk, sigmoid, toxicity
+from pathkin.llm.toxicity import Csr, fit, nnpu_gradient, nnpu_risk, sigmoid, toxicity, without_toxic
 
 
 def bucket(i, m):
@@ -25,13 +27,41 @@ def test_nnpu_finds_positives_without_negative_labels():
     rng = np.random.default_rng(0)
     draw = lambda n, toxic: [sorted(set(rng.integers(5, 200, 20).tolist()) | ({int(rng.integers(0, 5))} if toxic else set())) for _ in range(n)]
     unlabelled = draw(90, True) + draw(810, False)
-    w, b = fit(Csr(draw(200, True), 200), Csr(unlabelled, 200), 0.1)
-    z = Csr(draw(200, True) + draw(200, False), 200).dot(w) + b
+    w, b = fit(Csr.of(draw(200, True), 200), Csr.of(unlabelled, 200), 0.1)
+    z = Csr.of(draw(200, True) + draw(200, False), 200).dot(w) + b
     assert ((sigmoid(z) >= 0.5) == np.repeat([True, False], 200)).mean() > 0.95
     on_positives, on_negatives = nnpu_risk(np.zeros(4), np.zeros(4), 0.25)
     assert np.isclose(on_positives, 0.25 * np.log(2)) and np.isclose(on_negatives, 0.75 * np.log(2))
 
 
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 3.0])
+def test_nnpu_gradient_equals_numeric_differences(shift):
+    rng = np.random.default_rng(3)
+    zp, zu, prior, step = rng.normal(size=7) + shift, rng.normal(size=11) - shift, 0.3, 1e-6
+
+    def followed(zp, zu):
+        on_positives, on_negatives = nnpu_risk(zp, zu, prior)
+        return -on_negatives if nnpu_risk(*base, prior)[1] < 0 else on_positives + on_negatives
+
+    base = (zp, zu)
+    gp, gu = nnpu_gradient(zp, zu, prior)
+    unit = lambda n, k: step * (np.arange(n) == k)
+    assert np.allclose(gp, [(followed(zp + unit(7, k), zu) - followed(zp - unit(7, k), zu)) / (2 * step) for k in range(7)], atol=1e-7)
+    assert np.allclose(gu, [(followed(zp, zu + unit(11, k)) - followed(zp, zu - unit(11, k))) / (2 * step) for k in range(11)], atol=1e-7)
+    assert (nnpu_risk(np.full(3, 4.0), np.full(3, -4.0), 0.3)[1] < 0) and (nnpu_gradient(np.full(3, 4.0), np.full(3, -4.0), 0.3)[1] < 0).all()
+
+
+def test_toxicity_with_odd_labels(spark, docs, labels):
+    ids = docs.filter("doc_id IS NOT NULL")
+    strange = labels.select((labels.doc_id + 1000).alias("doc_id"), "toxic")  # no labelled text is there
+    assert len({r.score for r in toxicity(ids, strange).collect()}) == 1
+    twice = labels.select("doc_id", "toxic").unionByName(labels.select("doc_id", F.lit(0).alias("toxic")))
+    assert toxicity(docs, twice).orderBy("doc_id", "score").collect() == toxicity(docs, labels).orderBy("doc_id", "score").collect()
+    kept = without_toxic(docs, labels)
+    low = {(r.doc_id, r.score < 0.5) for r in toxicity(docs, labels).collect()}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, below in low if below}
+
+
 def test_quality(docs, labels, none, rows):
     got = quality(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (bucket(r.doc_id, 3) == 1) for r in got)

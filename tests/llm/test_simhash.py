@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from pathkin.llm.components import components
-from pathkin.llm.simhash import hamming_links, near_duplicates, shingle_hashes, similar_groups
+from pathkin.llm.simhash import hamming_links, near_duplicates, shingle_hashes
 
 
 def fingerprint(text, k=3):
@@ -66,49 +66,3 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (200, 201)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {95: 90, 100: 90, 201: 200}
-
-
-def test_similar_groups(docs, rows, none, spark):
-    sets = {r[0]: frozenset(shingle_hashes((r[1] or "").encode(), 5)) for r in rows if r[0] is not None}
-    alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    want = groups(list(sets), alike)
-    got = {r.doc_id: r.component_id for r in similar_groups(docs).collect() if r.doc_id is not None}
-    assert got == want and similar_groups(none).count() == 0
-    # many near copies of one text, with boxes too full to compare pair by pair
-    base = [f"w{k}" for k in range(120)]
-    rng = np.random.default_rng(0)
-    copies = [(k, " ".join(w if i != c else f"new{k}" for i, w in enumerate(base))) for k, c in enumerate(rng.integers(0, 120, 80).tolist())]
-    assert {r.component_id for r in similar_groups(spark.createDataFrame(copies, "doc_id bigint, text string"), pairwise=4).collect()} == {0}
-
-
-def test_full_boxes_lose_no_link(spark):
-    # texts that share most of a passage without being alike, a few pairs among them that are, and a large group of near copies
-    passage = [f"p{k}" for k in range(80)]
-    rng = random.Random(4)
-    texts = [passage + [f"t{d}x{k}" for k in range(rng.randint(30, 45))] for d in range(40)]
-    texts += [t[:-1] + ["changed"] for t in texts[::3]]
-    texts += [passage[:c] + [f"n{c}"] + passage[c + 1 :] for c in range(0, 80, 2)]
-    rng.shuffle(texts)
-    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
-    sets = {k: frozenset(shingle_hashes(t.encode(), 5)) for k, t in rows}
-    want = groups(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for pairwise in (1, 3, 16):
-        assert {r.doc_id: r.component_id for r in similar_groups(docs, pairwise=pairwise).collect()} == want
-
-
-def test_short_texts_lose_no_link(spark):
-    # texts of 5 to 25 words and the same with words more, at a similarity of 0.8 to 0.9: differing shingles reach every box
-    texts = []
-    for trial in range(12):
-        for size in range(5, 26):
-            texts.append([f"v{trial}x{size}x{k}" for k in range(size)])
-            more = (size - 4) // 4 if trial % 2 else max(1, (size - 4) // 6)
-            texts.append(texts[-1] + [f"more{k}" for k in range(more)])
-    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
-    sets = {k: frozenset(shingle_hashes(t.encode(), 5)) for k, t in rows}
-    want = groups(list(sets), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
-    assert sum(k != v for k, v in want.items()) > 150
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for widest in (22, 0):  # fingerprints decide no link either
-        assert {r.doc_id: r.component_id for r in similar_groups(docs, widest=widest).collect()} == want
