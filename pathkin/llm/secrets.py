@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest (DataFrame functions only).
 
-A candidate is a run of text that one of ``PATTERNS`` finds. The forest looks at its length, the changes
+A candidate is a run of text that one of ``PATTERNS`` finds; values have no greatest length. The forest looks at its length, the changes
 between kinds of characters, how much of it dictionary words cover, whether it is part of a path, and the
-neighbouring words. It is fitted on labelled findings (texts with one candidate each, and whether it is a secret): a
-bounded set of at most ``labelled`` rows whose features come from the same expressions. The fitted trees
+neighbouring words. The dictionary is counted in the corpus itself: the ``dictionary_words`` words of four letters and more that occur most
+often in all texts (a bounded table; beside it the stand-ins below). The forest is fitted on labelled findings (texts with one candidate each, and
+whether it is a secret): a sample of at most ``labelled`` rows whose features come from the same expressions. The fitted trees
 become CASE expressions, so that a scan is one pass over the texts without a shuffle or a join.
 """
 
@@ -21,7 +22,7 @@ from .common import table
 # Published formats of credentials, and names under which they are assigned. Values have no greatest length: a cut
 # one would leave its rest in the text. A run of hex digits is tried at its start (or after a match) only, so that scans stay linear.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:\s*+[A-Za-z][A-Za-z-]*+: [^\n]*+\n)*+[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?",
     "aws_key": r"A(?:KI|SI)A[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[A-Za-z0-9]{36,}",
     "slack_token": r"xox[abprs]-[0-9A-Za-z-]{10,}",
@@ -31,17 +32,17 @@ PATTERNS = {
     "web_token": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
     "url_password": r"(?<=://)[A-Za-z0-9._-]++:[^\s/:@\"']{6,}+@",
     "assigned": r"(?i:(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access_key|auth_key|credential)[a-z0-9_-]{0,20}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer )?[\"']?[^\s\"'<>,;(){}|]{8,}+)",
-    "hex": r"(?:\G|(?<![0-9a-f]))[0-9a-f]{32,}+(?![0-9A-Za-z])",
+    "hex": r"(?:\G|(?<![0-9a-fA-F]))[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
 }
 #: Words that stand-ins and ordinary names are made of.
-DICTIONARY = "example sample test testing dummy placeholder changeme change your here insert enter default value none null true false undefined password passwd secret token apikey key user username admin root login account email name string config setting env process public private local host server database service client header request response session cookie index file path image data version release build master main branch module package function method class object array number text todo fixme xxxx abcdef 123456 qwerty letmein welcome foobar hello world".split()
+STAND_INS = "example sample test testing dummy placeholder changeme change your here insert enter default value none null true false undefined password passwd secret token apikey key user username admin root login account email name string config setting env process public private local host server database service client header request response session cookie index file path image data version release build master main branch module package function method class object array number text todo fixme xxxx abcdef 123456 qwerty letmein welcome foobar hello world".split()
 #: Neighbouring words of secrets, and of things that only look like one.
 NEAR_SECRET = "token|secret|passw|pwd|credential|api.?key|access.?key|auth|bearer|private"
 NEAR_OTHER = "commit|sha1|sha256|sha512|md5|hash|checksum|digest|integrity|uuid|guid|etag|revision|fingerprint|example|sample|dummy|placeholder|fixture|image|color|blob|tree|parent|version|asset"
 
 FINDER = "|".join(PATTERNS.values())
 _LEAD = r"^(?i:[a-z0-9_-]{0,60}[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:bearer )?[\"']?)"
-FEATURES = ["length", "distinct", "changes", "digits", "uppers", "symbols", "repeats", "dictionary", "hex", "prefixed", "assigned", "in_path", "has_path", "near_secret", "near_other"]
+FEATURES = ["length", "distinct", "changes", "digits", "uppers", "symbols", "repeats", "stand_ins", "dictionary", "hex", "prefixed", "assigned", "in_path", "has_path", "near_secret", "near_other"]
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -55,35 +56,48 @@ def _kind(match: Column) -> Column:
     return kind
 
 
-def _candidates(docs: DataFrame) -> DataFrame:
-    """docs with _matches, the text between them as _pieces, and _found: a struct with the features of each match."""
+def common_words(docs: DataFrame, n: int = 2000) -> list[str]:
+    """The n words of four to twenty letters that occur most often in all texts, A-Z lowered; ties in code-point order."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter(F.length("word").between(4, 20))
+    found = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(n)
+    return sorted(r["word"] for r in found.collect())
+
+
+def _candidates(rows: DataFrame, dictionary: list[str]) -> DataFrame:
+    """rows (with text) and their matches, the text between them as pieces, and found: a struct with the features of each match."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_matches", F.regexp_extract_all(text, F.lit(FINDER), F.lit(0)))
-    some = F.size("_matches") > 0
-    marked = marked.withColumn("_pieces", F.when(some, F.split(text, FINDER, -1)))
+    marked = rows.withColumn("matches", F.regexp_extract_all(text, F.lit(FINDER), F.lit(0)))
+    some = F.size("matches") > 0
+    marked = marked.withColumn("pieces", F.when(some, F.split(text, FINDER, -1)))
 
     def describe(match: Column, i: Column) -> Column:
         lead = F.when(_kind(match) == "assigned", F.regexp_extract(match, _LEAD, 0)).otherwise(F.lit(""))
         return F.struct(
             i.alias("i"), match.alias("match"), lead.alias("lead"), _kind(match).alias("kind"), F.substring(match, F.length(lead) + 1, F.length(match)).alias("value"),
-            F.substring(F.get("_pieces", i), -60, 60).alias("before"), F.substring(F.get("_pieces", i + 1), 1, 40).alias("after"),
+            F.substring(F.get("pieces", i), -60, 60).alias("before"), F.substring(F.get("pieces", i + 1), 1, 40).alias("after"),
         )
 
+    def covered(v: Column) -> Column:
+        """The share of letters in words of the dictionary; words are runs of letters, parted where a capital begins one."""
+        parts = F.regexp_extract_all(v, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0))
+        known = F.filter(parts, lambda w: F.lower(w).isin(dictionary or [""]))
+        return F.aggregate(known, F.lit(0), lambda s, w: s + F.length(w)) / F.greatest(F.length(v), F.lit(1))
+
     def measure(x: Column) -> Column:
         v, lower = x["value"], F.lower(x["value"])
         around = F.lower(F.concat(x["before"], x["lead"], F.lit(" "), x["after"]))
-        words = "(?:" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")"
+        stand_ins = "(?:" + "|".join(sorted(STAND_INS, key=len, reverse=True)) + ")"
         features = [
             F.length(v), F.size(F.array_distinct(F.split(v, ""))) / F.greatest(F.length(v), F.lit(1)),
             F.regexp_count(v, F.lit(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")) / F.greatest(F.length(v), F.lit(1)),
             _share(v, "[^0-9]"), _share(v, "[^A-Z]"), _share(v, "[A-Za-z0-9]"), _share(v, r"(?s)(?!(.)\1\1).") ,
-            F.lit(1.0) - _share(lower, words), v.rlike("^[0-9a-fA-F]+$"), ~x["kind"].isin("hex", "assigned"), x["kind"] == "assigned",
+            F.lit(1.0) - _share(lower, stand_ins), covered(v), v.rlike("^[0-9a-fA-F]+$"), ~x["kind"].isin("hex", "assigned"), x["kind"] == "assigned",
             x["before"].rlike(r"(?:://\S*|[/\\.])$"), v.rlike(r"[/\\]|\.[a-z]{2,4}$"), around.rlike(NEAR_SECRET), around.rlike(NEAR_OTHER),
         ]
         return F.struct(x["i"].alias("i"), x["match"].alias("match"), x["lead"].alias("lead"), x["kind"].alias("kind"), x["value"].alias("value"), *[f.cast("double").alias(n) for n, f in zip(FEATURES, features)])
 
-    marked = marked.withColumn("_found", F.when(some, F.transform("_matches", describe)))
-    return marked.withColumn("_found", F.transform("_found", measure))
+    marked = marked.withColumn("found", F.when(some, F.transform("matches", describe)))
+    return marked.withColumn("found", F.transform("found", measure))
 
 
 class Forest:
@@ -137,7 +151,7 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, int]]:
     say = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(r.randint(2, 8)))
     name = lambda: r.choice(["token", "secret", "api_key", "password", "passwd", "auth_token", "client_secret", "access_key", "db_password", "API_KEY", "apiKey"])
     equals = lambda: r.choice([" = ", "=", ": ", ' = "', '="', "='", ': "'])
-    word = lambda: r.choice(DICTIONARY)
+    word = lambda: r.choice(STAND_INS)
     secrets = [
         lambda: f'{name()}{equals()}{hex_(r.choice([32, 40, 40, 40, 64]))}"', lambda: f"{name()}{equals()}{pick(alnum, r.randint(16, 48))}", lambda: f"{name()}{equals()}{pick(alnum + '!@#$%^&*-_', r.randint(10, 24))}",
         lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: f"xoxb-{r.randint(10**10, 10**11)}-{pick(alnum, 24)}",
@@ -153,50 +167,67 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, int]]:
     return [(f"{say()} {r.choice(kinds)()} {say()}", y) for k in range(n) for y, kinds in ((k % 2, others if k % 2 == 0 else secrets),)]
 
 
-def fit_forest(spark: SparkSession, findings: list[tuple[str, int]] | None = None, labelled: int = 2000) -> Forest:
-    """A forest from at most ``labelled`` findings, for which it collects the features; without findings, from the made set."""
-    rows = (findings if findings is not None else labelled_findings())[:labelled]
-    frame = spark.createDataFrame(rows, "text string, y int")
-    found = _candidates(frame).select("y", F.explode("_found").alias("f")).select("y", *[f"f.{n}" for n in FEATURES]).collect()
-    return Forest(np.array([[r[n] for n in FEATURES] for r in found], np.float64).reshape(-1, len(FEATURES)), np.array([r["y"] for r in found], np.float64))
+class Scanner:
+    """A forest and the dictionary that its features are measured with."""
+
+    def __init__(self, forest: Forest, dictionary: list[str]):
+        self.forest, self.dictionary = forest, dictionary
+
 
+def features_of(spark: SparkSession, findings: list[tuple[str, int]], dictionary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of each candidate in labelled findings, and the labels."""
+    found = _candidates(spark.createDataFrame(findings, "text string, y int"), dictionary).select("y", F.explode("found").alias("f")).select("y", *[f"f.{n}" for n in FEATURES]).collect()
+    return np.array([[r[n] for n in FEATURES] for r in found], np.float64).reshape(-1, len(FEATURES)), np.array([r["y"] for r in found], np.float64)
 
-def _judged(docs: DataFrame, forest: Forest | None, threshold: float) -> DataFrame:
-    forest = forest or fit_forest(docs.sparkSession)
 
+def fit_scanner(docs: DataFrame, findings: list[tuple[str, int]] | None = None, labelled: int = 2000, dictionary_words: int = 2000, seed: int = 5) -> Scanner:
+    """A scanner for docs from a random sample of at most ``labelled`` findings, whose features it collects; without findings, from the made set."""
+    rows = findings if findings is not None else labelled_findings()
+    if len(rows) > labelled:
+        rows = random.Random(seed).sample(rows, labelled)
+    dictionary = common_words(docs, dictionary_words)
+    return Scanner(Forest(*features_of(docs.sparkSession, rows, dictionary)), dictionary)
+
+
+def _judged(rows: DataFrame, scanner: Scanner) -> DataFrame:
     def judge(x: Column) -> Column:
-        return F.struct(x["i"].alias("i"), x["match"].alias("match"), x["lead"].alias("lead"), x["kind"].alias("kind"), x["value"].alias("value"), forest.column(x).alias("score"))
+        return F.struct(x["i"].alias("i"), x["match"].alias("match"), x["lead"].alias("lead"), x["kind"].alias("kind"), x["value"].alias("value"), scanner.forest.column(x).alias("score"))
 
-    return _candidates(docs).withColumn("_found", F.transform("_found", judge)).withColumn("_threshold", F.lit(float(threshold)))
+    return _candidates(rows, scanner.dictionary).withColumn("found", F.transform("found", judge))
 
 
-def secret_findings(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5) -> DataFrame:
+def secret_findings(docs: DataFrame, scanner: Scanner | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, finding, start, length, kind, value, score, is_secret) for each candidate in docs (doc_id, text).
 
     start is the place of the value in the text in characters, from 1; finding numbers a text's candidates
     from 0. is_secret: the forest's score is at least the threshold. Null and empty texts have no
-    findings; repeated rows each have theirs; other columns are not read. Long texts are scanned whole.
+    findings; repeated rows each have theirs; an empty table gives an empty result; other columns are not read. Long texts are scanned whole.
     """
-    rows = _judged(docs.select("doc_id", "text"), forest, threshold).filter(F.size("_matches") > 0)
+    scanner = scanner or fit_scanner(docs)
+    rows = _judged(docs.select("doc_id", "text"), scanner).filter(F.size("matches") > 0)
     begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts"))
     places = F.aggregate(
-        F.zip_with("_pieces", "_matches", lambda p, m: F.struct(F.length(p).alias("p"), F.coalesce(F.length(m), F.lit(0)).alias("m"))), begin,
+        F.zip_with("pieces", "matches", lambda p, m: F.struct(F.length(p).alias("p"), F.coalesce(F.length(m), F.lit(0)).alias("m"))), begin,
         lambda s, x: F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.array_append(s["starts"], s["at"] + x["p"]).alias("starts")),
     )
-    rows = rows.select("doc_id", "_threshold", places["starts"].alias("_starts"), "_found").select("doc_id", "_threshold", "_starts", F.explode("_found").alias("f"))
+    rows = rows.select("doc_id", places["starts"].alias("starts"), "found").select("doc_id", "starts", F.explode("found").alias("f"))
     return rows.select(
-        "doc_id", F.col("f.i").alias("finding"), (F.get("_starts", F.col("f.i")) + F.length("f.lead")).alias("start"), F.length("f.value").alias("length"),
-        F.col("f.kind").alias("kind"), F.col("f.value").alias("value"), F.round("f.score", 6).alias("score"), (F.col("f.score") >= F.col("_threshold")).alias("is_secret"),
+        "doc_id", F.col("f.i").alias("finding"), (F.get("starts", F.col("f.i")) + F.length("f.lead")).alias("start"), F.length("f.value").alias("length"),
+        F.col("f.kind").alias("kind"), F.col("f.value").alias("value"), F.round("f.score", 6).alias("score"), (F.col("f.score") >= F.lit(float(threshold))).alias("is_secret"),
     )
 
 
-def redacted(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret's value in text replaced by mark; nothing else changes. Null texts stay null; all columns and rows stay."""
-    rows = _judged(docs, forest, threshold)
-    secret = F.exists("_found", lambda x: x["score"] >= F.col("_threshold"))
-    parts = F.transform("_found", lambda x: F.concat(F.get("_pieces", x["i"]), F.when(x["score"] >= F.col("_threshold"), F.concat(x["lead"], F.lit(mark))).otherwise(x["match"])))
-    text = F.when(secret, F.concat(F.array_join(parts, ""), F.element_at("_pieces", -1))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+def redacted(docs: DataFrame, scanner: Scanner | None = None, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
+    """docs with each secret's value in text replaced by mark; nothing else changes.
+
+    Null texts stay null; all columns, whatever their names, and all rows stay, repeated ones too. An empty table stays one.
+    """
+    scanner = scanner or fit_scanner(docs)
+    rows = _judged(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text"), scanner)
+    is_secret = lambda x: x["score"] >= F.lit(float(threshold))
+    parts = F.transform("found", lambda x: F.concat(F.get("pieces", x["i"]), F.when(is_secret(x), F.concat(x["lead"], F.lit(mark))).otherwise(x["match"])))
+    text = F.when(F.exists("found", is_secret), F.concat(F.array_join(parts, ""), F.element_at("pieces", -1))).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
