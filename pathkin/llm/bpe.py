@@ -20,12 +20,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, tune
+from .common import lean, table, tune
 
 #: The pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Parts of text that a worker remembers before it starts afresh.
-MEMORY = 1_200_000
+MEMORY = 800_000
 _NONE = 1 << 62
 
 
@@ -179,7 +179,7 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int64())), pa.array(decoded, pa.string())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, {rest}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens bigint, {rest}")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ _LOWER = bytes(range(97, 123))
 #: For bytes.translate: A-Z become a-z, nothing else changes (safe in UTF-8).
 ASCII_LOWER = bytes.maketrans(_UPPER, _LOWER)
 #: Rows and bytes handed to Python at once (one row at least); texts can be long.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -28,6 +30,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function from batches to batches, that gives memory back to the system when it ends: Python workers live on for other tasks."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the cluster's shared folder, spark.checkpoint.dir; it goes when the driver's JVM ends.
 

@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, if_small, tune
+from .common import discard, durable, if_small, lean, tune
 from .components import components
 from .simhash import hamming_links, majority
 
 #: log2 of the number of buckets in which shingles are counted, and how many counts travel in a row.
 COUNT_BITS, CHUNK = 20, 4096
 #: Parts that the texts of a list are dealt to in the second round, and bytes of text that are hashed at once.
-SALTS, BLOCK = 8, 1 << 20
+SALTS, BLOCK = 8, 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -151,7 +151,7 @@ def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
             total += np.frombuffer(zstandard.decompress(value), np.int64)
         return pa.table({"chunk": [key[0].as_py()], "counts": [total.tobytes()]})
 
-    found = texts.mapInArrow(count, "chunk bigint, counts binary").groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary")
+    found = texts.mapInArrow(lean(count), "chunk bigint, counts binary").groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary")
     out = np.zeros(((1 << COUNT_BITS) // CHUNK, CHUNK), np.int32)
     for row in found.toLocalIterator():
         out[row["chunk"]] = np.minimum(np.frombuffer(row["counts"], np.int64), 2**31 - 1)
@@ -193,7 +193,7 @@ class Groups:
                     keep = pa.array(_jaccard_at_least(batch.column(2), batch.column(3), shingle_words, similarity), pa.bool_())
                     yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-            links = durable(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint"), "similar-links")
+            links = durable(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(compare), "a bigint, b bigint"), "similar-links")
             discard(asked, texts)
             return links
 
@@ -204,20 +204,19 @@ class Groups:
         named = lambda c: prints.select(F.col("fp").alias(c), F.col("key").alias(f"key_{c}"))
         near = near.join(named("a"), "a").join(named("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
         equal = sets.join(prints.filter("key != last").select("fp", F.col("key").alias("a")), "fp").filter("a != key").select("a", F.col("key").alias("b"))
-        head = lists_head(posts)
-        shared = durable(posts.join(if_small(head), "h").dropDuplicates(["h", "key"]), "similar-shared")
-        heads = shared.filter(F.col("place") == F.col("first")).select("h", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "i")])
+        shared = self._lists(posts)
+        heads = shared.filter(near_front() == F.col("first")).select("h", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "i")])
         stars = shared.join(heads, "h").filter((F.col("key") != F.col("o_key")) & enough(similarity)).select(F.col("o_key").alias("a"), F.col("key").alias("b"))
         pairs = durable(near.unionByName(equal).unionByName(stars).distinct(), "similar-first")
         links = verified(pairs)
         known = components(links, "similar-linked")
 
         # round 2: all that still meet in different components
-        place = lambda c: known.select(F.col("node").alias("key"), F.col("component").alias(c))
-        inside = durable(shared.select("h", "key", "n", "i").join(place("in_"), "key", "left").withColumn("in_", F.coalesce("in_", "key")), "similar-inside")
+        linked = known.select(F.col("node").alias("key"), F.col("component").alias("in_"))
+        inside = durable(shared.select("h", "key", "n", "i").join(linked, "key", "left").withColumn("in_", F.coalesce("in_", "key")), "similar-inside")
         split = inside.groupBy("h", "in_").agg(F.count(F.lit(1)).alias("size"))
         split = split.groupBy("h").agg(F.max_by("in_", F.struct("size", "in_")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
-        rest = durable(inside.join(if_small(durable(split, "similar-split")), "h").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "similar-rest")
+        rest = durable(inside.join(split, "h").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")), "similar-rest")
         outside = rest.filter("in_ != main").select("h", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "i", "in_")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         once = (F.col("in_") == F.col("main")) | (F.col("key") < F.col("o_key"))  # two that are both outside meet twice
         cross = rest.join(outside, ["h", "salt"]).filter((F.col("in_") != F.col("o_in_")) & once & enough(similarity))
@@ -226,7 +225,7 @@ class Groups:
             more = verified(late)
             known = components(links.unionByName(more), "similar-all")
         self.known = known
-        self.used = [posts, sets, prints, shared, pairs, links, inside, rest, late]
+        self.used = [sets, prints, shared, pairs, links, inside, rest, late]
 
     @staticmethod
     def _describe(docs: DataFrame, size: int) -> DataFrame:
@@ -243,11 +242,11 @@ class Groups:
                 yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(set_keys(hashes, starts)), pa.array(majority(hashes, starts).view(np.int64)), rows], ["uid", "key", "fp", "row"])
 
         schema = row.select(F.lit(0).cast("bigint").alias("uid"), F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("fp"), "row").schema
-        return durable(row.mapInArrow(run, schema), "similar-rows")
+        return durable(row.mapInArrow(lean(run), schema), "similar-rows")
 
     @staticmethod
     def _post(texts: DataFrame, size: int, similarity: float, counts) -> DataFrame:
-        """(h, key, n, i, place): each set once for a partition under its first shingles. place: small for the front of a set, to choose heads by."""
+        """(h, key, n, i): each set, once for a partition, under its first shingles; i is the shingle's place."""
 
         def run(batches):
             seen: set[int] = set()
@@ -260,16 +259,28 @@ class Groups:
                 i = np.arange(len(hashes)) - starts[owner]
                 front = i < posted(n, similarity)[owner]
                 h, owner, i = hashes[order][front], owner[front], i[front]
-                place = (i * (1 << 16) // n[owner]) << 44 | (mixed(keys[owner].view(np.uint64)) >> np.uint64(20)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[owner]), pa.array(n[owner].astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(place)], ["h", "key", "n", "i", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(keys[owner]), pa.array(n[owner].astype(np.int32)), pa.array(i.astype(np.int32))], ["h", "key", "n", "i"])
 
-        return durable(texts.mapInArrow(run, "h bigint, key bigint, n int, i int, place bigint"), "similar-posts")
+        return durable(texts.mapInArrow(lean(run), "h bigint, key bigint, n int, i int"), "similar-posts")
 
-
-def lists_head(posts: DataFrame) -> DataFrame:
-    """(h, first): the lists with different sets, and the place of the one that has the list's shingle nearest to its front."""
-    found = posts.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("place").alias("first"))
-    return durable(found.filter("low != high").select("h", "first"), "similar-lists")
+    @staticmethod
+    def _lists(posts: DataFrame) -> DataFrame:
+        """The posts of lists with different sets, each once, with ``first``: the place of the one that has the list's shingle nearest to its front.
+
+        Most shingles are one text's alone: their posts go before keys and places are gathered. posts is deleted.
+        """
+        held = posts.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+        met = durable(posts.join(held.hint("shuffle_hash"), "h", "left_semi"), "similar-met")
+        once = durable(met.dropDuplicates(["h", "key"]), "similar-once")
+        found = once.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min(near_front()).alias("first"))
+        shared = durable(once.join(found.filter("low != high").select("h", "first"), "h"), "similar-shared")
+        discard(posts, met, once)
+        return shared
+
+
+def near_front() -> Column:
+    """Orders the sets of a list by how near to their front its shingle is."""
+    return F.expr("shiftleft(i * 65536L div n, 44) | shiftrightunsigned(xxhash64(key), 20)")
 
 
 def enough(similarity: float) -> Column:

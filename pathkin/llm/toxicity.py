@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, discard, durable, id_bucket, table, tune
+from .common import ASCII_LOWER, discard, durable, id_bucket, lean, table, tune
 
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _TO_WORDS = bytes(32 if b in _PUNCTUATION else b for b in ASCII_LOWER)
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, holdout=(5, 0), positives: int = 3
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(list(terms(text)), pa.binary())], ["term"])
 
-    counted = sample.select("text").mapInArrow(each, "term binary").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted = sample.select("text").mapInArrow(lean(each), "term binary").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = counted.filter(F.col("n") >= least_texts).select("term").orderBy("term").toArrow()["term"].combine_chunks()  # bounded by the sample
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, holdout=(5, 0), positives: int = 3
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["pos", "id", "at"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = sample.select("_pos", "_id", "text").mapInArrow(coded, f"pos boolean, id {kind}, at array<int>").orderBy("pos", "id").select("pos", "at").toArrow().combine_chunks()
+    rows = sample.select("_pos", "_id", "text").mapInArrow(lean(coded), f"pos boolean, id {kind}, at array<int>").orderBy("pos", "id").select("pos", "at").toArrow().combine_chunks()
     discard(sample)
 
     def side(pos: bool) -> Csr:
@@ -153,7 +153,7 @@ def score_texts(docs: DataFrame, model: tuple[dict[bytes, float], float], holdou
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = id_bucket("doc_id", holdout[0]) == holdout[1]
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, holdout=(5, 0), threshold: float = 0.5, **options) -> DataFrame:
@@ -168,7 +168,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, holdout=(5, 0), threshold:
             z = [intercept + sum(weights[w] for w in sorted(terms(t) & weights.keys())) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(sigmoid(np.array(z)) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, holdout=(5, 0), **options) -> DataFrame:
