@@ -8,7 +8,8 @@
    (highest quotients target / (2k+1)); the blocks of a source then go to its shards, again by
    Sainte-Laguë over the shards' sizes. Both are computed by rounding at the common divisor and then
    handing out or taking back the few seats that are left by highest quotient, which is the same
-   apportionment without walking seat by seat.
+   apportionment without walking seat by seat. Sources too small for whole blocks (fewer than ``precision`` for
+   a shard) are apportioned among themselves in blocks of one word, so that they change no other source's blocks.
 3. A source with n documents has ceil(sqrt(n)) shards of about sqrt(n) documents, so that neither the
    window over a source's shards nor that over a shard's documents gathers a large source in a task.
    Within a shard the documents lie on a line in seeded order. The shard's quota covers it in whole
@@ -98,7 +99,7 @@ def mix(
     """(doc_id, source, size, source_size, target, taken): the words that the mix takes of each row of docs.
 
     docs needs doc_id, text and source. block_tokens: words in a block; by default the largest number
-    up to 1024 for which each shard of the smallest target still gets ``precision`` blocks, 1 at least.
+    up to 1024 for which all targets together hold ``precision`` blocks for each shard, 1 at least.
     """
     rows = durable(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce("text", F.lit("")).alias("t")).select(
@@ -109,12 +110,14 @@ def mix(
     )
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, max_repeats)
     sources = sources.withColumn("shards", F.ceil(F.sqrt("n")).cast("long"))
-    everything = Window.partitionBy()
-    fit = F.floor(F.min(F.when(F.col("target") > 0, F.col("target") / (F.col("shards") * precision))).over(everything))
-    block = F.lit(block_tokens) if block_tokens else F.least(F.lit(1024), F.greatest(F.lit(1), F.coalesce(fit, F.lit(1))))
-    sources = sources.withColumn("block", block.cast("long")).withColumn("_all", F.lit(0))
-    seats = F.floor(F.sum("target").over(Window.partitionBy("_all")) / F.col("block") + 0.5).cast("long")
-    sources = durable(sainte_lague(sources, seats, "target", ["_all"], "sid", "blocks").drop("_all"), "mix-sources")
+    in_order = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # sums of doubles: always in the same order
+    fit = F.coalesce(F.floor(F.sum("target").over(in_order) / (F.sum("shards").over(in_order) * precision)), F.lit(1))
+    block = F.lit(block_tokens) if block_tokens else F.least(F.lit(1024), F.greatest(F.lit(1), fit))
+    sources = sources.withColumn("block", block.cast("long"))
+    sources = sources.withColumn("block", F.when(F.col("target") >= F.col("block") * F.col("shards") * precision, F.col("block")).otherwise(F.lit(1).cast("long")))
+    of_block = Window.partitionBy("block").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seats = F.floor(F.sum("target").over(of_block) / F.col("block") + 0.5).cast("long")
+    sources = durable(sainte_lague(sources, seats, "target", ["block"], "sid", "blocks"), "mix-sources")
 
     dealt = rows.join(sources.select(F.col("source").alias("_source"), "sid", "shards"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("shard", F.pmod(_hex_number(F.col("digest"), 1), F.col("shards"))).drop("shards")
@@ -179,15 +182,17 @@ WITH d AS (
 ), s3 AS (
   SELECT *, least(cap, weight * max(level) OVER ()) AS target FROM s2
 ), s4 AS (
-  SELECT *, CAST(least(1024, greatest(1, coalesce(floor(min(CASE WHEN target > 0 THEN target / (shards * 100) END) OVER ()), 1))) AS BIGINT) AS block, sum(target) OVER () AS whole, count(*) OVER () AS srcs FROM s3
+  SELECT *, CAST(least(1024, greatest(1, floor(sum(target) OVER () / (sum(shards) OVER () * 100)))) AS BIGINT) AS big FROM s3
 ), s5 AS (
-  SELECT *, CAST(floor(whole / block + 0.5) AS BIGINT) AS seats FROM s4
+  SELECT *, CASE WHEN target >= big * shards * 100 THEN big ELSE 1 END AS block FROM s4
+), s6 AS (
+  SELECT *, sum(target) OVER w AS whole, count(*) OVER w AS srcs, CAST(floor(sum(target) OVER w / block + 0.5) AS BIGINT) AS seats FROM s5 WINDOW w AS (PARTITION BY block)
 ), q AS (
-  SELECT sid, target / (2 * k + 1) AS quotient, seats FROM s5, range(CAST(ceil(target / whole * (seats + srcs)) + 2 AS BIGINT)) r(k) WHERE target > 0
+  SELECT sid, block, target / (2 * k + 1) AS quotient, seats FROM s6, range(CAST(ceil(target / whole * (seats + srcs)) + 2 AS BIGINT)) r(k) WHERE target > 0
 ), won AS (
-  SELECT sid, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, sid) AS place FROM q) WHERE place <= seats GROUP BY sid
+  SELECT sid, count(*) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY quotient DESC, sid) AS place FROM q) WHERE place <= seats GROUP BY sid
 ), s AS (
-  SELECT s5.*, coalesce(blocks, 0) AS blocks FROM s5 LEFT JOIN won USING (sid)
+  SELECT s6.*, coalesce(blocks, 0) AS blocks FROM s6 LEFT JOIN won USING (sid)
 ), dealt AS (
   SELECT doc_id, size, digest, sid, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ), h0 AS (

@@ -60,3 +60,39 @@ def test_apportionment_equals_seat_by_seat(spark, seats):
 
 def test_mixed_documents_keep_columns(docs):
     assert mixed_documents(docs).columns == docs.columns
+
+
+def test_a_tiny_source_leaves_the_other_blocks_alone(spark):
+    rows = [(k, "w " * 40, "ab"[k % 2]) for k in range(400)]
+    plan = lambda more: {r.doc_id: r.taken for r in mix(spark.createDataFrame(rows + more, "doc_id int, text string, source string")).collect()}
+    alone, beside = plan([]), plan([(1000, "two words", "z")])
+    tiny = beside.pop(1000)
+    assert tiny == 6 and sum(beside.values()) + tiny == pytest.approx(16002, abs=120)
+    blocks = lambda taken: {n % 8 for n in taken.values()}
+    assert len(set(alone.values())) < 60 and len(set(beside.values())) < 60 and blocks(alone)
+
+
+@pytest.mark.parametrize("name", ["op1_source_mix", "op4_exact_top_k"])
+def test_queries_equal_their_sql(spark, rows, tmp_path, name):
+    import duckdb
+
+    from pathkin.llm.queries import ORACLE_SQL, QUERIES
+
+    tiny = [(901, "only two", None, "tiny", 8)]
+    spark.createDataFrame([(r[0], r[1], r[2], r[3], r[4]) for r in rows] + tiny, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(k, [((k * 37 + j * 11) % 19 - 9) / 8 for j in range(6)]) for k in range(300)] + [(300, None), (350, [float("nan")] * 6), (400, [0.5, None, 0.0, 0.0, 0.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), db.execute(ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    rows_of = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
+    assert columns == sorted(want.columns) and rows_of(got) == rows_of(want)
+
+
+def test_rows_that_share_an_id_share_its_count(spark):
+    rows = [(1, "a b c", "x")] * 2 + [(None, "d e", "x"), (None, "d e f", "x"), (2, "", "x"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = mixed_documents(docs).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
