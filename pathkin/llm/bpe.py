@@ -20,7 +20,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import lean, table, tune
+from .common import lean, table, tune, vocabulary_file
 
 #: The pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -148,7 +148,7 @@ _LOADED: dict[str, Bpe] = {}
 def loaded(path: str) -> Bpe:
     """The vocabulary at path, once for each Python worker."""
     if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
+        _LOADED[path] = Bpe(vocabulary_file(path))
     return _LOADED[path]
 
 
@@ -157,7 +157,8 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
 
     ids is the array of ids, decoded the text made from them again. With digests, ids_sha256 and
     decoded_sha256 (of the ids as little-endian 32-bit numbers and of the UTF-8 text) stand in their
-    place, so that only digests leave the Python worker.
+    place, so that only digests leave the Python worker. path may be a file's path or the name of a public tokenizer's file.
+    Null texts count as empty; repeated rows are encoded each; an empty table gives an empty result.
     """
     import pyarrow as pa
 
@@ -182,11 +183,9 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_tokens bigint, {rest}")
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: The vocabulary of the queries.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
+    return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)

@@ -73,14 +73,18 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
-    This cuts lineage so that a lost executor costs no recomputation, and gives Catalyst real sizes.
+    This cuts lineage so that a lost executor costs no recomputation, and gives Catalyst real sizes. Shuffle files go with the write.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -105,6 +109,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_file(name: str) -> str:
+    """The path of a tokenizer's file on this machine; a name without folders is that of a public tokenizer. Call it where the file is opened."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -1,11 +1,13 @@
 """Token-id output in training order.
 
-Texts are encoded, each followed by the end-of-text id, and packed end to end into sequences of ``length`` ids; the
-last sequence of a packing run is filled up with end-of-text ids. A keyed Feistel network over the smallest even number of bits that
-holds all n sequences, walked on until it falls below n (cycle-walking), is a permutation of 0 .. n-1:
-it gives each sequence its global slot in training order. Slots are cut into shards of ``shard_rows``; range
-partitions sort and write them. Every sequence takes the same number of bytes, so slot s lies in
-shard s // shard_rows at byte (s % shard_rows) * stride: readers go through shards in order and resume anywhere.
+1. Packing. Rows are dealt by hash of id and text to groups of about ``group_docs`` rows, in each of which texts are taken in the order of
+   doc_id and hash, encoded, followed by the end-of-text id, and packed end to end into sequences of ``length`` ids (the last one of a
+   group is filled up with end-of-text ids). Sequences are numbered group after group. That depends on the rows alone, not on partitions.
+2. Order. A keyed Feistel network over the smallest even number of bits that holds all n sequences, walked on until it falls
+   below n (cycle-walking), is a permutation of 0 .. n-1: it gives each sequence its global slot.
+3. Shards. Slot s belongs to shard s // shard_rows, at byte (s % shard_rows) * stride: every sequence takes the same number of bytes.
+   One exchange sends whole shards to range partitions with exact bounds; the tasks that get them sort and write the files, and an index of
+   what each slot holds. Readers go through shards in order, and resume at any slot.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ import base64
 import uuid
 
 import numpy as np
-from pyspark import TaskContext
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, tune
+from .common import discard, durable, lean, shared_dir, table, tune, vocabulary_file
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -54,144 +57,179 @@ def _encoder(path: str, pattern: str):
     if (path, pattern) not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(vocabulary_file(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path, pattern]
 
 
-def pack_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int) -> DataFrame:
-    """(part, row, tokens, doc_ids, doc_tokens): sequences as written by each partition, numbered within it.
-
-    tokens: length ids as little-endian 16-bit numbers (32-bit if end_id or the vocabulary needs them). doc_ids and
+class Packer:
+    """Cuts a stream of texts' ids into sequences of ``length``, and knows which texts each one holds."""
+
+    def __init__(self, length: int, end_id: int, size: np.dtype):
+        self.length, self.end_id, self.size = length, end_id, size
+        self.rest, self.held = np.zeros(0, size), []
+
+    def add(self, ids: list[np.ndarray], owners: list, last: bool) -> tuple[list[bytes], list[list], list[list[int]]]:
+        """The sequences that are full now (with last: all, the end filled up), their texts, and how many ids of each."""
+        data, owners = np.concatenate([self.rest, *ids]), self.held + [(o, len(i)) for o, i in zip(owners, ids)]
+        count = -(-len(data) // self.length) if last else len(data) // self.length
+        texts, sizes, k, left = [], [], 0, owners[0][1] if owners else 0
+        for _ in range(count):
+            room, some, many = self.length, [], []
+            while room and k < len(owners):
+                take = min(room, left)
+                some.append(owners[k][0])
+                many.append(take)
+                room, left = room - take, left - take
+                if not left:
+                    k += 1
+                    left = owners[k][1] if k < len(owners) else 0
+            texts.append(some)
+            sizes.append(many)
+        self.held = [(owners[k][0], left), *owners[k + 1 :]] if k < len(owners) else []
+        whole, self.rest = data[: count * self.length], data[count * self.length :]
+        raw = np.concatenate((whole, np.full(count * self.length - len(whole), self.end_id, self.size))).tobytes()
+        step = self.length * self.size.itemsize
+        return [raw[i * step : (i + 1) * step] for i in range(count)], texts, sizes
+
+
+def _width(end_id: int) -> np.dtype:
+    return np.dtype("<u2") if end_id < 1 << 16 else np.dtype("<u4")
+
+
+def pack_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int, group_docs: int = 8192) -> DataFrame:
+    """(g, row, tokens, doc_ids, doc_tokens): the sequences of each group, numbered within it.
+
+    tokens: length ids as little-endian 16-bit numbers (32-bit if end_id needs them). doc_ids and
     doc_tokens: the texts that the sequence holds, in order, and how many ids of each (with its end id).
     """
-    import pyarrow as pa
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    size = np.dtype("<u2") if end_id < 1 << 16 else np.dtype("<u4")
-
-    def run(batches):
-        encode = _encoder(path, pattern).encode_ordinary
-        part, row = TaskContext.get().partitionId(), 0
-        rest, held = np.zeros(0, size), []  # ids not yet in a sequence, and the texts they belong to
-
-        def cut(data, owners, last):
-            """Whole sequences of data (all of it if last) and their texts; what is over."""
-            count = -(-len(data) // length) if last else len(data) // length
-            ids, sizes, k, left = [], [], 0, owners[0][1] if owners else 0
-            for _ in range(count):
-                room, some, many = length, [], []
-                while room and k < len(owners):
-                    take = min(room, left)
-                    some.append(owners[k][0])
-                    many.append(take)
-                    room, left = room - take, left - take
-                    if not left:
-                        k += 1
-                        left = owners[k][1] if k < len(owners) else 0
-                ids.append(some)
-                sizes.append(many)
-            over = [(owners[k][0], left), *owners[k + 1 :]] if k < len(owners) else []
-            whole = data[: count * length]
-            whole = np.concatenate((whole, np.full(count * length - len(whole), end_id, size)))
-            return count, whole, ids, sizes, data[count * length :], over
-
-        def rows(count, whole, ids, sizes):
-            step = length * size.itemsize
-            raw = whole.tobytes()
+    tune(docs.sparkSession)
+    size, kind = _width(end_id), docs.schema["doc_id"].dataType.simpleString()
+    groups = max(1, -(-docs.count() // group_docs))
+
+    def encode(batches):
+        code = _encoder(path, pattern).encode_ordinary
+        for batch in batches:
+            ids = [np.array([*code(t or ""), end_id], size).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["doc_id", "h", "g", "ids"])
+
+    def pack(batches):
+        packer, group, row = Packer(length, end_id, size), None, 0
+
+        def made(found, kind):
+            nonlocal row
+            n = len(found[0])
+            row += n
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part] * count, pa.int64()), pa.array(range(row, row + count), pa.int64()), pa.array([raw[i * step : (i + 1) * step] for i in range(count)], pa.binary()),
-                    pa.array(ids, pa.list_(id_type)), pa.array(sizes, pa.list_(pa.int32())),
-                ],
-                ["part", "row", "tokens", "doc_ids", "doc_tokens"],
+                [pa.array([group] * n, pa.int64()), pa.array(range(row - n, row), pa.int64()), pa.array(found[0], pa.binary()), pa.array(found[1], pa.list_(kind)), pa.array(found[2], pa.list_(pa.int32()))],
+                ["g", "row", "tokens", "doc_ids", "doc_tokens"],
             )
 
-        id_type = pa.int64()
+        id_type = pa.null()
         for batch in batches:
             id_type = batch.column(0).type
-            coded, owners = [rest], held
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = encode(text or "")
-                got.append(end_id)
-                coded.append(np.array(got, size))
-                owners.append((doc_id, len(got)))
-            count, whole, ids, sizes, rest, held = cut(np.concatenate(coded), owners, False)
-            if count:
-                yield rows(count, whole, ids, sizes)
-                row += count
-        if len(rest):
-            count, whole, ids, sizes, rest, held = cut(rest, held, True)
-            yield rows(count, whole, ids, sizes)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"part bigint, row bigint, tokens binary, doc_ids array<{kind}>, doc_tokens array<int>")
-
-
-def training_order(docs: DataFrame, path: str, pattern: str, end_id: int = 50256, length: int = 1024, shard_rows: int = 8192, key: int = 20) -> DataFrame:
-    """(slot, shard, row, offset, tokens, doc_ids, doc_tokens), range-partitioned and sorted by slot.
+            of = batch.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+            for a, b in zip(edges, edges[1:]):
+                if group is not None and of[a] != group:
+                    yield made(packer.add([], [], True), id_type)
+                    row = 0
+                group = int(of[a])
+                ids = [np.frombuffer(x.as_buffer(), size) for x in batch.column(3).slice(a, b - a)]
+                yield made(packer.add(ids, batch.column(0).slice(a, b - a).to_pylist(), False), id_type)
+        if group is not None:
+            yield made(packer.add([], [], True), id_type)
+
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.select("doc_id", h.alias("h"), F.pmod(F.xxhash64("doc_id", h), F.lit(groups)).alias("g"), "text")
+    coded = named.mapInArrow(lean(encode), f"doc_id {kind}, h bigint, g bigint, ids binary")
+    dealt = coded.repartition("g").sortWithinPartitions("g", "doc_id", "h")
+    return dealt.mapInArrow(lean(pack), f"g bigint, row bigint, tokens binary, doc_ids array<{kind}>, doc_tokens array<int>")
+
+
+def store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI that driver and executors can reach, and the path in it."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def write_training_order(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 50256, length: int = 1024, shard_rows: int = 8192, key: int = 20, group_docs: int = 8192) -> DataFrame:
+    """Writes folder/shard-<number>.bin and returns their index, a written table: (slot, shard, row, offset, path, doc_ids, doc_tokens), files sorted by slot.
 
     docs needs doc_id and text; other columns are not read. Null and empty texts are one end id; repeated rows are packed
-    each; long texts go on in further sequences. An empty table gives no rows. row and offset: the sequence's place
-    in its shard, in sequences and bytes. Slots are the same whenever docs has the same partitions.
+    each; long texts go on in further sequences. An empty table gives no shards and no rows. row and offset: the sequence's place
+    in its shard, in sequences and bytes. The shards hold the same bytes whatever the partitions of docs, and on every run. A file is written under a
+    name of its attempt and then renamed, so that a task that is run again leaves whole files. folder: as for store().
     """
-    import pyarrow as pa
-
-    spark = tune(docs.sparkSession)
-    packed = pack_sequences(docs, path, pattern, end_id, length)
-    folder = f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
-    packed.write.option("compression", "zstd").parquet(folder)
-    packed = spark.read.schema(packed.schema).parquet(folder)
-    sizes = {r["part"]: r["n"] for r in packed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
-    starts, n = {}, 0
-    for part in sorted(sizes):
-        starts[part], n = n, n + sizes[part]
-    shared = spark.sparkContext.broadcast(starts)
+    packed = durable(pack_sequences(docs, path, pattern, end_id, length, group_docs), "sequences", "zstd")
+    sizes = packed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").toArrow()  # two numbers for each group_docs rows
+    numbers, counts = sizes["g"].to_numpy(), sizes["n"].to_numpy()
+    n = int(counts.sum())
+    starts = np.cumsum(counts) - counts
+    shared = docs.sparkSession.sparkContext.broadcast((numbers, starts))
+    stride, shards = length * _width(end_id).itemsize, max(1, -(-n // shard_rows))
 
     def place(batches):
+        numbers, starts = shared.value
         for batch in batches:
-            first = np.array([shared.value[p] for p in batch.column(0).to_pylist()], np.int64)
+            first = starts[np.searchsorted(numbers, batch.column(0).to_numpy())]
             slot = feistel(first + batch.column(1).to_numpy(), n, key)
             yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[2:]], ["slot", "tokens", "doc_ids", "doc_tokens"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name in ("tokens", "doc_ids", "doc_tokens"))
-    placed = packed.select("part", "row", "tokens", "doc_ids", "doc_tokens").mapInArrow(place, f"slot bigint, {fields}")
-    ranges = max(1, -(-n // shard_rows))
-    stride = length * (2 if end_id < 1 << 16 else 4)
-    row = F.col("slot") % shard_rows
-    return (
-        placed.repartitionByRange(ranges, "slot")
-        .sortWithinPartitions("slot")
-        .select("slot", F.expr(f"slot div {shard_rows}").alias("shard"), row.alias("row"), (row * stride).alias("offset"), "tokens", "doc_ids", "doc_tokens")
-    )
-
+    def write(batches):
+        system, base = store(folder)
+        system.create_dir(base, recursive=True)
+        open_, out, own, name = None, None, "", ""
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
-    """Writes each shard of training_order() as folder/shard-<number>.bin and returns (shard, first_slot, rows, bytes, path).
+        def close():
+            if out is not None:
+                out.close()
+                if system.get_file_info(name).type == fs.FileType.NotFound:
+                    system.move(own, name)
+                else:  # another attempt was first, with the same bytes
+                    system.delete_file(own)
 
-    folder is a path or URI that pyarrow can write to from every executor. A file is written under a name of its
-    attempt and then renamed, so that a task that is run again leaves whole files. The job runs now.
-    """
-    import pyarrow as pa
-    from pyarrow import fs
+        for batch in batches:
+            slots, tokens = batch.column(0).to_numpy(), batch.column(1)
+            paths = []
+            for k, slot in enumerate(slots.tolist()):
+                if slot // shard_rows != open_:
+                    close()
+                    open_ = slot // shard_rows
+                    name, own = f"{base}/shard-{open_:08d}.bin", f"{base}/.{open_:08d}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(own)
+                out.write(tokens[k].as_buffer())
+                paths.append(f"shard-{open_:08d}.bin")
+            row = slots % shard_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots // shard_rows), pa.array(row), pa.array(row * stride), pa.array(paths, pa.string()), *batch.columns[2:]], ["slot", "shard", "row", "offset", "path", "doc_ids", "doc_tokens"])
+        close()
+
+    lists = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name in ("doc_ids", "doc_tokens"))
+    placed = packed.mapInArrow(lean(place), f"slot bigint, tokens binary, {lists}")
+    parts = min(shards, 20_000)
+    ranged = placed.repartitionById(parts, F.expr(f"CAST(slot div {shard_rows} * {parts} div {shards} AS INT)")).sortWithinPartitions("slot")
+    index = durable(ranged.mapInArrow(lean(write), f"slot bigint, shard bigint, row bigint, offset bigint, path string, {lists}"), "training-index")
+    discard(packed)
+    return index
+
+
+def read_training_order(index: DataFrame, folder: str, end_id: int = 50256, length: int = 1024) -> DataFrame:
+    """index with tokens, read from the shards at their offsets; a filter on slot resumes anywhere."""
+    stride, names = length * _width(end_id).itemsize, index.columns
+    place = {c: k for k, c in enumerate(names)}
+
+    def read(batches):
+        system, base = store(folder)
+        file, name = None, None
+        for batch in batches:
+            tokens = []
+            for path, offset in zip(batch.column(place["path"]).to_pylist(), batch.column(place["offset"]).to_pylist()):
+                if path != name:
+                    file, name = system.open_input_file(f"{base}/{path}"), path
+                tokens.append(file.read_at(stride, offset))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.binary())], [*names, "tokens"])
 
-    def write(key, rows):
-        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        system.create_dir(base, recursive=True)
-        shard = key[0].as_py()
-        rows = rows.sort_by("slot")
-        name, own = f"{base}/shard-{shard:08d}.bin", f"{base}/.{shard:08d}-{uuid.uuid4().hex}"
-        total = 0
-        with system.open_output_stream(own) as out:
-            for value in rows["tokens"]:
-                total += out.write(value.as_buffer())
-        system.move(own, name)
-        return pa.table({"shard": [shard], "first_slot": [rows["slot"][0].as_py()], "rows": [rows.num_rows], "bytes": [total], "path": [name]})
-
-    done = ordered.groupBy("shard").applyInArrow(write, "shard bigint, first_slot bigint, rows bigint, bytes bigint, path string")
-    done = done.cache()
-    done.count()
-    return done
+    return index.mapInArrow(read, index.select("*", F.lit(b"").alias("tokens")).schema)
 
 
 def read_shard(path: str, length: int, start_row: int = 0, wide: bool = False) -> np.ndarray:
@@ -202,4 +240,6 @@ def read_shard(path: str, length: int, start_row: int = 0, wide: bool = False) -
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    index = write_training_order(table(spark, sf_dir, "documents"), folder, "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
+    return read_training_order(index, folder).select("slot", "shard", "row", "offset", "tokens", "doc_ids", "doc_tokens")

@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pathkin.llm.bpe import encode_decode, loaded, merge, vocabulary_path
+from pathkin.llm.bpe import VOCABULARY, encode_decode, loaded, merge
+from pathkin.llm.common import vocabulary_file
 
-PATH = vocabulary_path()
+PATH = vocabulary_file(VOCABULARY)
 REFERENCE = Tokenizer.from_file(PATH)
 
 
