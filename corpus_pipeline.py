@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathkin.llm.bpe import encode_decode, vocabulary_path
+from pathkin.llm.bpe import VOCABULARY, encode_decode
 from pathkin.llm.common import durable, free_name, table
 from pathkin.llm.mixing import mixed_documents
 from pathkin.llm.secrets import redacted
@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_decode(docs, vocabulary_path(), digests=True)
+    return encode_decode(docs, VOCABULARY, digests=True)
 
 
 STAGES = [
