@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,13 +154,14 @@ def store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
-def write_training_order(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 50256, length: int = 1024, shard_rows: int = 8192, key: int = 20, group_docs: int = 8192) -> DataFrame:
+def write_training_order(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 50256, length: int = 1024, shard_rows: int = 8192, key: int = 20, group_docs: int = 8192, passes: int = 2) -> DataFrame:
     """Writes folder/shard-<number>.bin and returns their index, a written table: (slot, shard, row, offset, path, doc_ids, doc_tokens), files sorted by slot.
 
     docs needs doc_id and text; other columns are not read. Null and empty texts are one end id; repeated rows are packed
     each; long texts go on in further sequences. An empty table gives no shards and no rows. row and offset: the sequence's place
     in its shard, in sequences and bytes. The shards hold the same bytes whatever the partitions of docs, and on every run. A file is written under a
-    name of its attempt and then renamed, so that a task that is run again leaves whole files. folder: as for store().
+    name of its attempt and then renamed, so that a task that is run again leaves whole files. folder: as for store(). The shards are written in
+    ``passes`` ranges one after another, each with its own exchange, so that disks hold a part of the exchanged sequences at a time.
     """
     packed = durable(pack_sequences(docs, path, pattern, end_id, length, group_docs), "sequences", "zstd")
     sizes = packed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("g").toArrow()  # two numbers for each group_docs rows
@@ -169,12 +171,16 @@ def write_training_order(docs: DataFrame, folder: str, path: str, pattern: str,
     shared = docs.sparkSession.sparkContext.broadcast((numbers, starts))
     stride, shards = length * _width(end_id).itemsize, max(1, -(-n // shard_rows))
 
-    def place(batches):
-        numbers, starts = shared.value
-        for batch in batches:
-            first = starts[np.searchsorted(numbers, batch.column(0).to_numpy())]
-            slot = feistel(first + batch.column(1).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[2:]], ["slot", "tokens", "doc_ids", "doc_tokens"])
+    def place(low, high):
+        def run(batches):
+            numbers, starts = shared.value
+            for batch in batches:
+                first = starts[np.searchsorted(numbers, batch.column(0).to_numpy())]
+                slot = feistel(first + batch.column(1).to_numpy(), n, key)
+                found = pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[2:]], ["slot", "tokens", "doc_ids", "doc_tokens"])
+                yield found.filter(pa.array((slot >= low) & (slot < high)))
+
+        return lean(run)
 
     def write(batches):
         system, base = store(folder)
@@ -205,12 +211,15 @@ def write_training_order(docs: DataFrame, folder: str, path: str, pattern: str,
         close()
 
     lists = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema if f.name in ("doc_ids", "doc_tokens"))
-    placed = packed.mapInArrow(lean(place), f"slot bigint, tokens binary, {lists}")
-    parts = min(shards, 20_000)
-    ranged = placed.repartitionById(parts, F.expr(f"CAST(slot div {shard_rows} * {parts} div {shards} AS INT)")).sortWithinPartitions("slot")
-    index = durable(ranged.mapInArrow(lean(write), f"slot bigint, shard bigint, row bigint, offset bigint, path string, {lists}"), "training-index")
+    edges = sorted({shards * p // passes for p in range(passes + 1)})
+    index = []
+    for a, b in zip(edges, edges[1:]):
+        placed = packed.mapInArrow(place(a * shard_rows, b * shard_rows), f"slot bigint, tokens binary, {lists}")
+        parts = min(b - a, 20_000)
+        ranged = placed.repartitionById(parts, F.expr(f"CAST((slot div {shard_rows} - {a}) * {parts} div {b - a} AS INT)")).sortWithinPartitions("slot")
+        index.append(durable(ranged.mapInArrow(lean(write), f"slot bigint, shard bigint, row bigint, offset bigint, path string, {lists}"), "training-index"))
     discard(packed)
-    return index
+    return reduce(DataFrame.unionByName, index)
 
 
 def read_training_order(index: DataFrame, folder: str, end_id: int = 50256, length: int = 1024) -> DataFrame:

@@ -1,17 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors (``pivots``, by hash of vec_id). Each vector is represented by its
-``prefix`` nearest pivots in order, and posted with its rank in the inverted file of each of them. A
-query looks only into the files of its own nearest pivots and ranks vectors by the footrule distance
-of the two permutations (pivots past the prefix count as rank ``prefix``). The best of them, a share ``rerank`` of each
-group but at least ``least``, are reranked by their exact inner product. Every vector is indexed.
+Each group of vectors (see blocks) has its own index. Its pivots are a bounded sample of the group (``pivots`` vectors, evenly spread over
+the order of vec_id, scaled to length 1). Each vector is represented by its ``prefix`` nearest pivots in order, and posted with its rank in the inverted file
+of each of them. A query looks only into the files of its own nearest pivots and ranks vectors by the footrule distance
+of the two permutations (pivots past the prefix count as rank ``prefix``). The nearest by that distance, a share ``rerank`` of the
+group and ``extra`` for each neighbour asked for, are reranked by their exact inner product. Every vector is indexed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .blocks import grid_search, usable
 from .common import table
@@ -62,33 +61,21 @@ class PermutationIndex:
         return near[top], scores[top]
 
 
-def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 256, prefix: int = 64, rerank: float = 0.15, least: int = 512, **groups) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = 256, prefix: int = 64, rerank: float = 0.15, extra: int = 6, **groups) -> DataFrame:
     """(query_id, rank, vec_id, score): score is the exact inner product in double precision; see grid_search for the queries.
 
     vectors needs vec_id and embedding; other columns are not read. Vectors that are null, zero, empty or
     hold null or non-finite components take no part. Rows with the query's own vec_id are not
     candidates; other repeated rows count each. Fewer candidates than k: all. No queries: no rows.
     """
-    kept = usable(vectors, nonzero=True)
-    sample = kept.select("dim", "embedding", F.xxhash64("vec_id", F.lit(7)).alias("h"), "vec_id").orderBy("h", "vec_id").limit(pivots).collect()
-    by_dim: dict[int, list] = {}
-    for row in sample:
-        by_dim.setdefault(row["dim"], []).append(row["embedding"])
-    chosen = {dim: (p := np.array(rows, np.float64)) / np.linalg.norm(p, axis=1, keepdims=True) for dim, rows in by_dim.items()}
-
-    def search(ids, matrix, query_ids, query_matrix):
-        # a dimension too rare for the sample takes its first vectors as pivots
-        own = chosen.get(matrix.shape[1], matrix[:pivots])
-        index, out = PermutationIndex(matrix, own, prefix), ([], [], [])
-        candidates = max(least, int(np.ceil(rerank * len(ids))))
-        for query_id, query, nearest in zip(query_ids, query_matrix, index.permutation(query_matrix)):
-            best, scores = index.search(query, nearest, k, np.flatnonzero(ids == query_id), candidates)
-            out[0].extend([query_id] * len(best))
-            out[1].extend(ids[best])
-            out[2].extend(scores.tolist())
-        return out
-
-    return grid_search(kept, every, k, search, "double", **groups)
+
+    def build(matrix):
+        chosen = matrix[np.unique(np.linspace(0, len(matrix) - 1, min(pivots, len(matrix))).astype(np.int64))]
+        index = PermutationIndex(matrix, chosen / np.linalg.norm(chosen, axis=1, keepdims=True), prefix)
+        candidates = int(np.ceil(rerank * len(matrix))) + extra * k
+        return lambda query, skip: index.search(query, index.permutation(query[None, :])[0], k, skip, candidates)
+
+    return grid_search(usable(vectors, nonzero=True), every, k, build, "double", **groups)
 
 
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,11 @@ from .common import table
 
 
 def to_integers(matrix: np.ndarray, scale: int = 256) -> np.ndarray:
-    return np.floor(scale * matrix).astype(np.int64)
+    """floor(scale * x); refuses numbers that 64 bits cannot hold."""
+    whole = np.floor(scale * matrix)
+    if whole.size and np.abs(whole).max() >= 2.0**62:
+        raise OverflowError("a component times the scale does not fit 64 bits")
+    return whole.astype(np.int64)
 
 
 class VaFile:
@@ -26,6 +30,7 @@ class VaFile:
     def __init__(self, vectors: np.ndarray, cells: int = 32):
         self.vectors = vectors
         n, d = vectors.shape
+        self.widest = float(np.abs(vectors).max()) * d if vectors.size else 0.0
         self.codes = np.empty((d, n), np.uint8)
         self.low, self.high = np.zeros((d, cells), np.int64), np.zeros((d, cells), np.int64)
         for j in range(d):
@@ -48,6 +53,8 @@ class VaFile:
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and scores of the best k (ties to the smaller position) but those in skip; and how many vectors were read."""
+        if query.size and self.widest * float(np.abs(query).max()) >= 2.0**62:
+            raise OverflowError("an inner product may not fit 64 bits")
         bounds = self.bounds(query)
         bounds[skip] = -np.iinfo(np.int64).max  # can be negated
         order = np.argsort(-bounds, kind="stable")[: len(bounds) - len(skip)]
@@ -66,19 +73,14 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
 
     vectors needs vec_id and embedding; other columns are not read. Vectors that are null or hold null
     or non-finite components take no part; an empty vector meets only empty ones, with score 0. Rows with the query's own vec_id are not
-    candidates; other repeated rows count each. Products must fit 64 bits. Fewer candidates than k: all. No queries: no rows.
+    candidates; other repeated rows count each. Products that might not fit 64 bits are an error. Fewer candidates than k: all. No queries: no rows.
     """
 
-    def search(ids, matrix, query_ids, query_matrix):
-        file, out = VaFile(to_integers(matrix, scale)), ([], [], [])
-        for query_id, query in zip(query_ids, to_integers(query_matrix, scale)):
-            best, scores, _ = file.search(query, k, np.flatnonzero(ids == query_id))
-            out[0].extend([query_id] * len(best))
-            out[1].extend(ids[best])
-            out[2].extend(scores.tolist())
-        return out
+    def build(matrix):
+        file = VaFile(to_integers(matrix, scale))
+        return lambda query, skip: file.search(to_integers(query, scale), k, skip)[:2]
 
-    return grid_search(usable(vectors), every, k, search, "bigint", **groups)
+    return grid_search(usable(vectors), every, k, build, "bigint", **groups)
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
