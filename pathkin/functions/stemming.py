@@ -6,6 +6,8 @@ the number of times that vc occurs in its shape.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import re
 
 from pyspark.sql import DataFrame
@@ -90,19 +92,27 @@ def porter_stem(word: str | None) -> str | None:
     return word[:-1] if word.endswith("ll") and size > 1 else word
 
 
-def stem_table(words: DataFrame, column: str) -> DataFrame:
-    """(word, stem) for the distinct lower-cased values of a column: the only Python step, over a vocabulary and not over rows."""
-    ship(words.sparkSession)
+@lru_cache(maxsize=100_000)
+def _remembered(word: str | None) -> str | None:
+    return porter_stem(word)
+
 
+def _stems():
     @F.pandas_udf("string")
     def stems(values):
-        return values.map(porter_stem)
+        return values.map({w: _remembered(w) for w in values.unique()})
 
+    return stems
+
+
+def stem_table(words: DataFrame, column: str) -> DataFrame:
+    """(word, stem) for the distinct lower-cased values of a column."""
+    ship(words.sparkSession)
     distinct = words.select(F.lower(column).alias("word")).filter(F.col("word").isNotNull()).distinct()
-    return distinct.select("word", stems("word").alias("stem"))
+    return distinct.select("word", _stems()("word").alias("stem"))
 
 
 def with_stem(df: DataFrame, column: str, stem: str) -> DataFrame:
-    """df with the stem of a column's lower-cased value; null stays null."""
-    table = stem_table(df, column).withColumnRenamed("stem", stem)
-    return df.withColumn("_word", F.lower(column)).join(table.withColumnRenamed("word", "_word"), "_word", "left").drop("_word")
+    """df with the stem of a column's lower-cased value; null stays null. One pass: a batch's distinct words are stemmed, each once for a worker."""
+    ship(df.sparkSession)
+    return df.withColumn(stem, _stems()(F.lower(column)))

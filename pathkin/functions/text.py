@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def trim_controls(value: Column) -> Column:
     """Strips all characters up to U+0020 at both ends (Spark's trim strips spaces only)."""
-    return F.regexp_replace(value, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(value, F.lit("".join(map(chr, range(33)))))
 
 
 def strict_long(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def _rates(df: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -12,16 +14,20 @@ def _rates(df: DataFrame) -> DataFrame:
     return df.withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn)).withColumn("f1", ratio(2 * tp, 2 * tp + fp + fn))
 
 
-def threshold_sweep(scored: DataFrame) -> DataFrame:
+def threshold_sweep(scored: DataFrame, steps: int = 4096) -> DataFrame:
     """(t, tp, fp, tn, fn, precision, recall, f1) for each distinct score as threshold.
 
-    Scores are summed up before the running sums, so that the window sees one row for each distinct score.
+    Running sums in two levels: scores are dealt to ranges of 1/steps; only the sums of ranges meet in one task, and each range adds up its own scores.
     """
     known = scored.filter("label IN ('POS', 'NEG')")
     each = known.groupBy("s").agg(F.sum(F.when(F.col("label") == "POS", 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == "NEG", 1).otherwise(0)).alias("neg"))
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    swept = each.select(F.col("s").alias("t"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("_pos"), F.sum("neg").over(whole).alias("_neg"))
+    each = durable(each.withColumn("_range", F.floor(F.col("s") * steps)), "scores")
+    above, whole = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    ranges = each.groupBy("_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    ranges = ranges.select("_range", before("_p").alias("_tp"), before("_n").alias("_fp"), F.sum("_p").over(whole).alias("_pos"), F.sum("_n").over(whole).alias("_neg"))
+    down = Window.partitionBy("_range").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = each.join(ranges, "_range").select(F.col("s").alias("t"), (F.sum("pos").over(down) + F.col("_tp")).alias("tp"), (F.sum("neg").over(down) + F.col("_fp")).alias("fp"), "_pos", "_neg")
     return _rates(swept.select("t", "tp", "fp", (F.col("_neg") - F.col("fp")).alias("tn"), (F.col("_pos") - F.col("tp")).alias("fn")))
 
 

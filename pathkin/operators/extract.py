@@ -109,15 +109,23 @@ def verb_events(records: DataFrame) -> DataFrame:
 
 
 def extract_events(records: DataFrame) -> DataFrame:
-    """(p, slot, w, c): the events under their predicate."""
+    """(p, slot, w, c): the events under their predicate, in one pass; only verb forms go through Python."""
     return with_key(verb_events(records)).select("p", "slot", "w", "c")
 
 
-def extract_triples(records: DataFrame) -> DataFrame:
-    """(p, slot, w, c): the events summed up.
+def event_counts(records: DataFrame) -> DataFrame:
+    """(p, slot, w, c, events): how often each event occurs. Counted by verb form first, so that stems are looked up for the much smaller result."""
+    forms = verb_events(records).groupBy("verb", "prep", "slot", "w", "c").agg(F.count(F.lit(1)).alias("events"))
+    return with_key(forms).groupBy("p", "slot", "w", "c").agg(F.sum("events").alias("events"))
 
-    Events are summed by verb form first, in the JVM; stems are then looked up for the verb forms of that much
-    smaller result, so that the corpus is parsed once and no row of it goes through Python.
-    """
+
+def predicate_counts(records: DataFrame) -> DataFrame:
+    """(p, pairs): for how many noun pairs each predicate stands."""
+    forms = chosen_verbs(dependency_paths(noun_pairs(records))).groupBy("verb", "prep").agg(F.count(F.lit(1)).alias("pairs"))
+    return with_key(forms).groupBy("p").agg(F.sum("pairs").alias("pairs"))
+
+
+def extract_triples(records: DataFrame) -> DataFrame:
+    """(p, slot, w, c): the events summed up, by verb form first, in the JVM; stems are then looked up for the verb forms of that much smaller result."""
     forms = verb_events(records).groupBy("verb", "prep", "slot", "w").agg(F.sum("c").alias("c"))
     return with_key(forms).groupBy("p", "slot", "w").agg(F.sum("c").alias("c"))

@@ -9,8 +9,7 @@ from ..functions.staging import staged
 from ..functions.text import strict_int, strict_long, trim_controls
 
 
-def _token(text: Column, place: Column) -> Column:
-    parts = F.split(text, "/", 4)
+def _token(parts: Column, place: Column) -> Column:
     return F.struct(
         (place + 1).cast("int").alias("id"), F.get(parts, F.lit(0)).alias("word"), F.get(parts, F.lit(1)).alias("pos"), F.get(parts, F.lit(2)).alias("rel"),
         F.when(F.size(parts) == 4, strict_int(F.get(parts, F.lit(3)))).alias("head"),
@@ -24,10 +23,11 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     fields. reason is null for a valid line, else why it is rejected: fields, count, token or head (a
     head that is no token of the line). Blank lines have reason blank.
     """
-    tokens = F.split(F.regexp_replace(F.get("_fields", F.lit(1)), r"\s+$", ""), r"\s+")
+    tokens = F.split(F.rtrim(F.get("_fields", F.lit(1)), F.lit(" \t\n\v\f\r")), r"\s+")
+    parts = F.transform(tokens, lambda t: F.split(t, "/", 4))  # once for a token, however many fields are taken from it
     line = trim_controls(F.col(column))
     cut = staged(lines, _line=line, _fields=F.split(line, "\t", 4))
-    parsed = staged(cut, count=strict_long(F.get("_fields", F.lit(2))), toks=F.transform(tokens, _token))
+    parsed = staged(cut, count=strict_long(F.get("_fields", F.lit(2))), toks=F.transform(parts, _token))
     within = lambda t: (t["head"] >= 0) & (t["head"] <= F.size("toks"))
     reason = (
         F.when(F.col("_line").isNull() | (F.col("_line") == ""), "blank")

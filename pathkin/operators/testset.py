@@ -40,14 +40,14 @@ def canonical_pairs(raw: DataFrame) -> DataFrame:
 
 
 def read_pairs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lenient reader: (left_raw, right_raw, label, precedence); blank lines and lines of one column are skipped, further columns ignored. The label comes from the file's name, the precedence from the order of paths."""
+    """Lenient reader: (left_raw, right_raw, label, precedence, place); place numbers a file's lines in their order; blank lines and lines of one column are skipped, further columns ignored. The label comes from the file's name, the precedence from the order of paths."""
     parts = []
     for k, path in enumerate(paths):
         line = trim_controls(F.col("value"))
-        rows = spark.read.text(path).select(line.alias("value"), label_of(F.input_file_name()).alias("label"))
+        rows = spark.read.text(path).select(line.alias("value"), label_of(F.input_file_name()).alias("label"), F.monotonically_increasing_id().alias("place"))
         fields = F.split("value", "\t")
         rows = rows.filter("value != ''").filter(F.size(fields) >= 2)
-        parts.append(rows.select(F.get(fields, F.lit(0)).alias("left_raw"), F.get(fields, F.lit(1)).alias("right_raw"), "label", F.lit(k).alias("precedence")))
+        parts.append(rows.select(F.get(fields, F.lit(0)).alias("left_raw"), F.get(fields, F.lit(1)).alias("right_raw"), "label", F.lit(k).alias("precedence"), "place"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -82,5 +82,5 @@ def test_set_stats(pairs: DataFrame) -> DataFrame:
 
 
 def first_pairs(pairs: DataFrame, k: int = 5) -> DataFrame:
-    """The first k pairs, positive lists before negative ones, in the order of their templates."""
-    return pairs.orderBy("precedence", "left_raw", "right_raw").limit(k)
+    """The first k pairs in the order of their lists (place), positive lists before negative ones."""
+    return pairs.orderBy("precedence", "place").limit(k)

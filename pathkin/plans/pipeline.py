@@ -6,8 +6,7 @@ import argparse
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extract import extract_triples
@@ -15,6 +14,7 @@ from ..operators.parse import parse_lines, rejected_lines, valid_records
 from ..operators.similarity import labelled, numerators, similarity
 from ..operators.stats import denominators, marginals, mutual_information
 from ..operators.testset import load_test_pairs
+from ..session import durable
 from ..sources.tsv import object_path, read_lines, write_tsv
 
 
@@ -30,27 +30,41 @@ class Results:
 
 
 def build(lines: DataFrame, pairs: DataFrame, weight: str = "reference") -> Results:
-    """All tables as lazy DataFrames; triples and mutual information, which several of them read, are kept (on disk where memory is short)."""
+    """All tables; triples and mutual information, which several of them read, are written to the shared folder, the others are lazy."""
     parsed = parse_lines(lines)
-    triples = extract_triples(valid_records(parsed)).persist(StorageLevel.MEMORY_AND_DISK)
-    mi = mutual_information(triples).persist(StorageLevel.MEMORY_AND_DISK)
+    triples = durable(extract_triples(valid_records(parsed)), "triples")
+    mi = durable(mutual_information(triples), "information")
     denoms = denominators(mi)
     numer = numerators(mi, pairs, weight)
     return Results(rejected_lines(parsed), triples, marginals(triples), mi, denoms, numer, labelled(similarity(numer, denoms), pairs))
 
 
 def volumes(results: Results) -> DataFrame:
-    """(stage, records): how many rows each table of a run has."""
+    """(stage, records, bytes): how many rows each table of a run has, and how many bytes they take as tab-separated lines."""
     tables = {name: getattr(results, name) for name in ("triples", "marginals", "mi", "denominators", "numerators", "similarity")}
-    counts = [t.agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("stage"), "records") for name, t in tables.items()]
+
+    def text(t: DataFrame) -> Column:
+        """A row as written: doubles with ten decimals, nulls as empty fields."""
+        fields = [F.format_string("%.10f", c) if kind == "double" else F.col(c).cast("string") for c, kind in t.dtypes]
+        return F.concat_ws("\t", *[F.coalesce(f, F.lit("")) for f in fields])
+
+    counts = [t.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.octet_length(text(t)) + 1), F.lit(0)).alias("bytes")).select(F.lit(name).alias("stage"), "records", "bytes") for name, t in tables.items()]
     return reduce(DataFrame.unionByName, counts)
 
 
+def checked(results: Results, corpus: str) -> Results:
+    """results, or an error if a table that later stages look things up in is empty: the marginals of a kind, or the denominators."""
+    kinds = {r["kind"] for r in results.marginals.select("kind").distinct().collect()}  # three at most
+    if missing := [k for k in ("PS", "SW", "S") if k not in kinds]:
+        raise ValueError(f"no {', '.join(missing)} marginals in {corpus}")
+    if results.denominators.isEmpty():
+        raise ValueError(f"no triple of {corpus} has positive information")
+    return results
+
+
 def run_pipeline(spark: SparkSession, corpus: str, positive: str, negative: str, out: str, weight: str = "reference") -> Results:
     """Reads corpus and test files, writes (p1, p2, label, s) sorted by pair as tab-separated text to out. An error stops the run; negative labels win over positive ones."""
-    results = build(read_lines(spark, corpus), load_test_pairs(spark, [positive, negative]), weight)
-    if results.mi.isEmpty():
-        raise ValueError(f"no counted triples in {corpus}")
+    results = checked(build(read_lines(spark, corpus), load_test_pairs(spark, [positive, negative]), weight), corpus)
     write_tsv(results.similarity.orderBy("p1", "p2"), out, ["p1", "p2", "label", "s"])
     return results
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stemming import stem_table
 from ..operators import evaluate, extract, parse, similarity, stats, testset
 from ..sources import generated
-from ..sources.tsv import read_keyed_value, read_tsv, write_tsv
-from .pipeline import build, volumes
+from ..session import durable, shared_dir, write_text
+from ..sources.tsv import read_keyed_value, read_lines, read_tsv, write_tsv
+from .pipeline import build, run_pipeline, volumes
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,11 +24,11 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extract_triples(_records(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return durable(extract.extract_triples(_records(spark, sf)), "triples")
 
 
 def _mi(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.mutual_information(_triples(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
+    return durable(stats.mutual_information(_triples(spark, sf)), "information")
 
 
 def _pairs(spark: SparkSession) -> DataFrame:
@@ -41,12 +41,12 @@ def _scored(mi: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _every_pair(mi: DataFrame) -> DataFrame:
-    """All unordered pairs of the corpus's predicates that share a filler; POS if they share the verb."""
-    wide = stats.positive(mi).select("p", "slot", "w")
-    a, b = wide.withColumnRenamed("p", "p1"), wide.withColumnRenamed("p", "p2")
-    pairs = a.join(b, ["slot", "w"]).filter("p1 <= p2").select("p1", "p2").distinct()
-    verb = lambda c: F.split(c, " ")[1]
-    return pairs.withColumn("label", F.when(verb("p1") == verb("p2"), "POS").otherwise("NEG"))
+    """Pairs to evaluate, linear in the number of predicates: POS, those of the same verb; NEG, each with the next ten of its prepositions (or of none) in order of verbs."""
+    named = stats.positive(mi).select("p").distinct().withColumn("_t", F.split("p", " ")).select("p", F.get("_t", F.lit(1)).alias("verb"), F.when(F.size("_t") > 3, F.get("_t", F.lit(2))).otherwise("").alias("prep"))
+    same = named.select("verb", F.col("p").alias("p1")).join(named.select("verb", F.col("p").alias("p2")), "verb").filter("p1 <= p2").select("p1", "p2", F.lit("POS").alias("label"))
+    after = F.collect_list("p").over(Window.partitionBy("prep").orderBy("verb").rowsBetween(1, 10))
+    other = named.withColumn("o", after).select("p", F.explode("o").alias("o")).select(F.least("p", "o").alias("p1"), F.greatest("p", "o").alias("p2"), F.lit("NEG").alias("label"))
+    return same.unionByName(other)
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,12 +78,11 @@ def dependency_paths(spark, sf):
 
 
 def predicate_keys(spark, sf):
-    keyed = extract.with_key(extract.chosen_verbs(extract.dependency_paths(extract.noun_pairs(_records(spark, sf)))))
-    return keyed.groupBy("p").agg(F.count(F.lit(1)).alias("pairs"))
+    return extract.predicate_counts(_records(spark, sf))
 
 
 def slot_events(spark, sf):
-    return extract.extract_events(_records(spark, sf)).groupBy("p", "slot", "w", "c").agg(F.count(F.lit(1)).alias("events"))
+    return extract.event_counts(_records(spark, sf))
 
 
 def triple_counts(spark, sf):
@@ -163,27 +162,93 @@ def error_samples(spark, sf):
 
 
 def run_comparison(spark, sf):
-    pairs = _pairs(spark)
-    whole = _scored(_mi(spark, sf), pairs)
-    finished = extract.extract_triples(_records(spark, sf).filter("status = 'F'")).persist(StorageLevel.MEMORY_AND_DISK)
-    part = _scored(stats.mutual_information(finished).persist(StorageLevel.MEMORY_AND_DISK), pairs)
-    return evaluate.run_comparison(part, whole).select("p1", "p2", "label", F.round("s_small", 6).alias("s_small"), F.round("s_large", 6).alias("s_large"))
+    """The corpus is parsed once, for the run on its finished part and that on the whole."""
+    pairs, records = _pairs(spark), durable(_records(spark, sf), "records")
+    run = lambda rows: _scored(durable(stats.mutual_information(durable(extract.extract_triples(rows), "triples")), "information"), pairs)
+    return evaluate.run_comparison(run(records.filter("status = 'F'")), run(records)).select("p1", "p2", "label", F.round("s_small", 6).alias("s_small"), F.round("s_large", 6).alias("s_large"))
 
 
 def tsv_roundtrip(spark, sf):
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{base}/pathkin/tsv-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tsv-{uuid.uuid4().hex}"
     write_tsv(_triples(spark, sf), path, ["p", "slot", "w", "c"])
     one = read_tsv(spark, path, "p string, slot string, w string, c bigint").select("slot", "c", F.lit("typed").alias("reader"))
     two = read_keyed_value(spark, path, ["p", "slot", "w"], "c").select("slot", F.col("c").cast("bigint").alias("c"), F.lit("keyed").alias("reader"))
     return one.unionByName(two).groupBy("reader", "slot").agg(F.count(F.lit(1)).alias("triples"), F.sum("c").alias("total"))
 
 
+def _hard_files(spark: SparkSession, sf: str) -> str:
+    """A folder with the hard records as corpus files and two test files; returns its path."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    generated.hard_lines(spark, sf).select("value").write.text(f"{path}/corpus")
+    for name, lines in HARD_TESTS.items():
+        write_text(spark, f"{path}/{name}", "".join(f"{line}\n" for line in lines))
+    return path
+
+
+#: Test files as users write them: blank lines, lines of one column, columns beyond two, a pair that both lists name.
+HARD_TESTS = {
+    "positive-preds.txt": ["X cause Y\tX use Y", "", "X treats with Y\tX treat IN Y", "X gave Y", "X gave  Y\tX have Y\tmore", "X gave Y\tX gave Y", "X cause\tX use Y"],
+    "negative-preds.txt": ["X gave Y\tX caused Y", "X using Y\tX causes Y", " ", "X heal Y\tX gave Y"],
+    "strict-preds.txt": ["# pairs", "X cause Y\tX use Y", "", " X gave Y \t X have Y \tmore"],
+}
+
+
+def _hard_mi(spark: SparkSession, sf: str) -> DataFrame:
+    records = parse.valid_records(parse.parse_lines(generated.hard_lines(spark, sf)))
+    return durable(stats.mutual_information(durable(extract.extract_triples(records), "triples")), "information")
+
+
+def hard_rejects(spark, sf):
+    lines = read_lines(spark, f"{_hard_files(spark, sf)}/corpus")
+    return parse.parse_lines(lines).groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def hard_paths(spark, sf):
+    paths = extract.dependency_paths(extract.noun_pairs(parse.valid_records(parse.parse_lines(generated.hard_lines(spark, sf)))))
+    path = F.coalesce(F.array_join(F.transform("path", lambda i: i.cast("string")), ","), F.lit("none"))
+    return paths.select("kind", "nation", F.col("n1.id").alias("id1"), F.col("n2.id").alias("id2"), path.alias("path"))
+
+
+def hard_events(spark, sf):
+    lines = read_lines(spark, f"{_hard_files(spark, sf)}/corpus")
+    events = extract.extract_events(parse.valid_records(parse.parse_lines(lines)))
+    return events.groupBy("p", "slot", "w", "c").agg(F.count(F.lit(1)).alias("events"))
+
+
+def hard_information(spark, sf):
+    return _hard_mi(spark, sf).select("p", "slot", "w", "c", F.col("mi").cast("double").alias("mi"))
+
+
+def hard_unlabelled(spark, sf):
+    """Pairs of the negative file are looked for, but have no label."""
+    mi, path = _hard_mi(spark, sf), _hard_files(spark, sf)
+    pairs = testset.load_test_pairs(spark, [f"{path}/positive-preds.txt", f"{path}/negative-preds.txt"])
+    found = similarity.similarity(similarity.numerators(mi, pairs), stats.denominators(mi))
+    return similarity.labelled(found, pairs.filter("label = 'POS'")).select("p1", "p2", "label", F.round("s", 6).alias("s"))
+
+
+def file_pairs(spark, sf):
+    path = _hard_files(spark, sf)
+    return testset.read_pairs(spark, [f"{path}/positive-preds.txt", f"{path}/negative-preds.txt"]).select("left_raw", "right_raw", "label", "precedence")
+
+
+def file_pairs_strict(spark, sf):
+    return testset.read_strict(spark, f"{_hard_files(spark, sf)}/strict-preds.txt", 1)
+
+
+def file_run(spark, sf):
+    """The launcher, from corpus and test files to its output, which is read again."""
+    path = _hard_files(spark, sf)
+    run_pipeline(spark, f"{path}/corpus", f"{path}/positive-preds.txt", f"{path}/negative-preds.txt", f"{path}/out")
+    return read_tsv(spark, f"{path}/out", "p1 string, p2 string, label string, s double").withColumn("s", F.round("s", 6))
+
+
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
         corpus_parse_tokens, corpus_rejects, pos_class_counts, noun_pairs, dependency_paths, predicate_keys, slot_events, triple_counts, marginals, mutual_information, denominators,
         shared_features, numerators, similarity_, similarity_labeled, testset_normalized, testset_stats, testset_sample, stage_volumes, stem_verbs, threshold_sweep, confusion_matrix, error_samples, run_comparison, similarity_sorted, tsv_roundtrip,
+        hard_rejects, hard_paths, hard_events, hard_information, hard_unlabelled, file_pairs, file_pairs_strict, file_run,
     )
 }
 
@@ -240,7 +305,10 @@ raw(l, r, label) AS (VALUES
   ('X control Y','X caus Y','NEG'), ('X carri to Y','X us to Y','NEG'), ('X provid for Y','X destroi with Y','NEG'), ('X control Y','X carri Y','NEG'), ('X treat with Y','X give Y','NEG')),
 pairs AS (SELECT least(l, r) AS p1, greatest(l, r) AS p2, min(label) AS label FROM raw GROUP BY ALL)"""
 _ALL_PAIRS = """
-every AS (SELECT DISTINCT a.p AS p1, b.p AS p2, CASE WHEN split_part(a.p, ' ', 2) = split_part(b.p, ' ', 2) THEN 'POS' ELSE 'NEG' END AS label FROM pos a JOIN pos b USING (slot, w) WHERE a.p <= b.p)"""
+named AS (SELECT DISTINCT p, split_part(p, ' ', 2) AS verb, CASE WHEN len(string_split(p, ' ')) > 3 THEN split_part(p, ' ', 3) ELSE '' END AS prep FROM pos),
+every AS (
+  SELECT a.p AS p1, b.p AS p2, 'POS' AS label FROM named a JOIN named b USING (verb) WHERE a.p <= b.p
+  UNION ALL SELECT least(a.p, b.p), greatest(a.p, b.p), 'NEG' FROM (SELECT *, row_number() OVER (PARTITION BY prep ORDER BY verb) AS k FROM named) a JOIN (SELECT *, row_number() OVER (PARTITION BY prep ORDER BY verb) AS k FROM named) b ON a.prep = b.prep AND b.k BETWEEN a.k + 1 AND a.k + 10)"""
 
 _CORPUS = f"WITH {_BASE}"
 _COUNTED = f"WITH {_BASE}, {_EVENTS}, {_stages()}"
@@ -278,10 +346,12 @@ ORACLE_SQL = {
     "testset_normalized": f"WITH {_PAIRS} SELECT * FROM pairs",
     "testset_stats": f"""WITH w(l, r, label) AS (VALUES {', '.join(str(p) for p in generated.TEST_PAIRS)})
       SELECT 'pairs' AS measure, count(*) AS n FROM w UNION ALL SELECT 'pairs_' || label, count(*) FROM w GROUP BY label UNION ALL SELECT 'templates', count(*) FROM (SELECT l FROM w UNION SELECT r FROM w)""",
-    "testset_sample": f"SELECT * FROM (VALUES {', '.join(str(p) for p in generated.TEST_PAIRS)}) t(left_raw, right_raw, label) ORDER BY label <> 'POS', left_raw, right_raw LIMIT 5",
-    "stage_volumes": f"""{_SIMILAR}, m AS (SELECT 1 FROM triples GROUP BY GROUPING SETS ((p, slot), (slot, w), (slot)))
-      SELECT 'triples' AS stage, count(*) AS records FROM triples UNION ALL SELECT 'marginals', count(*) FROM m UNION ALL SELECT 'mi', count(*) FROM mi UNION ALL SELECT 'denominators', count(*) FROM den
-      UNION ALL SELECT 'numerators', count(*) FROM num UNION ALL SELECT 'similarity', count(*) FROM sim""",
+    "testset_sample": f"SELECT * FROM (VALUES {', '.join(str(p) for p in generated.TEST_PAIRS)}) t(left_raw, right_raw, label) LIMIT 5",
+    "stage_volumes": f"""{_SIMILAR}, m AS (SELECT p, slot, w, CASE WHEN grouping(p) = 0 THEN 'PS' WHEN grouping(w) = 0 THEN 'SW' ELSE 'S' END AS kind, sum(c) AS n FROM triples GROUP BY GROUPING SETS ((p, slot), (slot, w), (slot))),
+      t AS (SELECT 'triples' AS stage, p || chr(9) || slot || chr(9) || w || chr(9) || c AS line FROM triples UNION ALL SELECT 'marginals', concat_ws(chr(9), kind, coalesce(p, ''), slot, coalesce(w, ''), n::VARCHAR) FROM m
+      UNION ALL SELECT 'mi', concat_ws(chr(9), p, slot, w, c::VARCHAR, mi::VARCHAR) FROM mi UNION ALL SELECT 'denominators', concat_ws(chr(9), p, slot, denom::VARCHAR) FROM den
+      UNION ALL SELECT 'numerators', concat_ws(chr(9), p1, p2, slot, contrib::VARCHAR) FROM num UNION ALL SELECT 'similarity', concat_ws(chr(9), p1, p2, printf('%.10f', sim_x), printf('%.10f', sim_y), printf('%.10f', s), label) FROM sim)
+      SELECT stage, count(*) AS records, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM t GROUP BY stage""",
     "stem_verbs": f"{_CORPUS} SELECT verb AS word, stem FROM stems WHERE verb IN (SELECT verb FROM base)",
     "threshold_sweep": f"""{_EVALUATED}, e AS (SELECT s, count(*) FILTER (label = 'POS') AS pos, count(*) FILTER (label = 'NEG') AS neg FROM sc GROUP BY s),
       r AS (SELECT s AS t, CAST(sum(pos) OVER d AS BIGINT) AS tp, CAST(sum(neg) OVER d AS BIGINT) AS fp, CAST(sum(neg) OVER () - sum(neg) OVER d AS BIGINT) AS tn, CAST(sum(pos) OVER () - sum(pos) OVER d AS BIGINT) AS fn
@@ -294,3 +364,41 @@ ORACLE_SQL = {
       SELECT p1, p2, sim.label, round(sim_f.s, 6) AS s_small, round(sim.s, 6) AS s_large FROM sim_f JOIN sim USING (p1, p2)""",
     "tsv_roundtrip": f"{_COUNTED} SELECT reader, slot, count(*) AS triples, CAST(sum(c) AS BIGINT) AS total FROM triples, (VALUES ('typed'), ('keyed')) r(reader) GROUP BY ALL",
 }
+
+# The hard records' events by hand: f stands for the nation's filler, m for the factor of its count.
+_HARD = """
+hand(p, x, y, m) AS (VALUES
+  ('X gave Y', 'f', 'patients', 1), ('X gave Y', 'f', 'aspirin', 1), ('X gave Y', 'patients', 'aspirin', 1),
+  ('X have Y', 'patients', 'f', 1), ('X treat Y', 'f', 'disease', 1), ('X caus Y', 'f', 'f', 1), ('X caus Y', 'f', 'pain', 1), ('X caus Y', 'f', 'pain', 1),
+  ('X cure Y', 'f', 'cold', 0), ('X heal Y', 'f', 'wound', -1), ('X us Y', 'patients', 'f', 1),
+  ('X treat with Y', 'f', 'drugs', 1), ('X treat in Y', 'f', 'clinics', 1), ('X treat with Y', 'drugs', 'clinics', 1), ('X caus Y', 'smoking', 'f', 1),
+  ('X gave Y', 'f', 'doctors', 1), ('X gave Y', 'f', 'patients', 1), ('X gave Y', 'f', 'aspirin', 1), ('X gave Y', 'doctors', 'patients', 1), ('X gave Y', 'doctors', 'aspirin', 1), ('X gave Y', 'patients', 'aspirin', 1),
+  ('X caus Y', 'f', 'pain', 1)),
+nat AS (SELECT n_nationkey AS nation, lower(replace(n_name, ' ', '_')) AS name FROM nation),
+hev AS (SELECT p, CASE x WHEN 'f' THEN name ELSE x END AS x, CASE y WHEN 'f' THEN name ELSE y END AS y, CAST(m * (nation + 1) AS BIGINT) AS c FROM hand, nat),
+events AS (SELECT p, 'X' AS slot, x AS w, c FROM hev UNION ALL SELECT p, 'Y', y, c FROM hev),
+triples AS (SELECT p, slot, w, CAST(sum(c) AS BIGINT) AS c FROM events GROUP BY ALL),
+mi AS (
+  SELECT p, slot, w, c, CAST(round(ln(c::DOUBLE * s::DOUBLE / (ps::DOUBLE * sw::DOUBLE)), 10) AS DECIMAL(28, 10)) AS mi FROM (
+    SELECT *, sum(c) OVER (PARTITION BY p, slot) AS ps, sum(c) OVER (PARTITION BY slot, w) AS sw, sum(c) OVER (PARTITION BY slot) AS s FROM triples) WHERE c > 0 AND ps > 0 AND sw > 0 AND s > 0
+),
+pos AS (SELECT * FROM mi WHERE mi > 0),
+den AS (SELECT p, slot, sum(mi) AS denom FROM pos GROUP BY ALL),
+feat AS (SELECT slot, w, count(*) AS predicates FROM pos GROUP BY ALL HAVING count(*) >= 2),
+pairs(p1, p2, label) AS (VALUES ('X caus Y', 'X us Y', 'NEG'), ('X treat in Y', 'X treat with Y', 'POS'), ('X gave Y', 'X have Y', 'POS'), ('X gave Y', 'X gave Y', 'POS'), ('X caus Y', 'X gave Y', 'NEG'), ('X gave Y', 'X heal Y', 'NEG'))"""
+_HARD_PATHS = """(VALUES ('three nouns', 1, 3, '1,2,3'), ('three nouns', 1, 4, '1,2,4'), ('three nouns', 3, 4, '3,2,4'), ('no auxiliary by form', 1, 3, '1,2,3'), ('cycle of three', 1, 3, '1,3'), ('cycle of four', 1, 3, '1,2,3'),
+  ('no path', 1, 3, 'none'), ('repeated events', 1, 2, '1,3,2'), ('repeated events', 1, 4, '1,3,4'), ('repeated events', 2, 4, '2,3,4'), ('zero count', 1, 3, '1,2,3'), ('negative count', 1, 3, '1,2,3'),
+  ('auxiliary before the verb', 1, 4, '1,2,3,4'), ('two prepositions', 1, 4, '1,2,3,4'), ('two prepositions', 1, 6, '1,2,5,6'), ('two prepositions', 4, 6, '4,3,2,5,6'), ('object first', 1, 3, '1,2,3'),
+  ('four nouns', 1, 2, '1,3,2'), ('four nouns', 1, 4, '1,3,4'), ('four nouns', 1, 5, '1,3,5'), ('four nouns', 2, 4, '2,3,4'), ('four nouns', 2, 5, '2,3,5'), ('four nouns', 4, 5, '4,3,5'), ('self loop', 1, 3, '1,2,3'))"""
+
+ORACLE_SQL |= {
+    "hard_rejects": "SELECT reason, each * (SELECT count(*) FROM nation) AS lines FROM (VALUES ('valid', 13), ('blank', 1), ('head', 1)) v(reason, each)",
+    "hard_paths": f"SELECT kind, n_nationkey AS nation, CAST(id1 AS INTEGER) AS id1, CAST(id2 AS INTEGER) AS id2, path FROM {_HARD_PATHS} v(kind, id1, id2, path), nation",
+    "hard_events": f"WITH {_HARD} SELECT p, slot, w, c, count(*) AS events FROM events GROUP BY ALL",
+    "hard_information": f"WITH {_HARD} SELECT p, slot, w, c, mi::DOUBLE AS mi FROM mi",
+    "hard_unlabelled": f"WITH {_HARD}, {_similar()} SELECT p1, p2, CASE label WHEN 'POS' THEN 'POS' ELSE 'UNK' END AS label, round(s, 6) AS s FROM sim",
+    "file_pairs": """SELECT left_raw, right_raw, label, CAST(precedence AS INTEGER) AS precedence FROM (VALUES ('X cause Y', 'X use Y', 'POS', 0), ('X treats with Y', 'X treat IN Y', 'POS', 0), ('X gave  Y', 'X have Y', 'POS', 0), ('X gave Y', 'X gave Y', 'POS', 0),
+      ('X cause', 'X use Y', 'POS', 0), ('X gave Y', 'X caused Y', 'NEG', 1), ('X using Y', 'X causes Y', 'NEG', 1), ('X heal Y', 'X gave Y', 'NEG', 1)) v(left_raw, right_raw, label, precedence)""",
+    "file_pairs_strict": "SELECT left_raw, right_raw, CAST(1 AS INTEGER) AS label FROM (VALUES ('X cause Y', 'X use Y'), ('X gave Y', 'X have Y')) v(left_raw, right_raw)",
+    "file_run": f"WITH {_HARD}, {_similar()} SELECT p1, p2, label, round(s, 6) AS s FROM sim",
+}

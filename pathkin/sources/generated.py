@@ -59,6 +59,35 @@ def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_pairs(spark: SparkSession) -> DataFrame:
-    """(left_raw, right_raw, label, precedence): the negative list is read last."""
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("left_raw"), F.lit(b).alias("right_raw"), F.lit(label).alias("label"), F.lit(int(label == "NEG")).alias("precedence")) for a, b, label in TEST_PAIRS]))
+    """(left_raw, right_raw, label, precedence, place): the negative list is read last."""
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("left_raw"), F.lit(b).alias("right_raw"), F.lit(label).alias("label"), F.lit(int(label == "NEG")).alias("precedence"), F.lit(k).alias("place")) for k, (a, b, label) in enumerate(TEST_PAIRS)]))
     return spark.range(1, numPartitions=1).select(rows.alias("r")).select("r.*")
+
+
+#: Records of kinds that the corpus above lacks; {f} is a filler of each nation's own, {n} its key plus one.
+HARD_LINES = {
+    "three nouns": "{f}/NN/nsubj/2 gave/VBD/ROOT/0 patients/NNS/iobj/2 aspirin/NN/dobj/2\t{n}",
+    "no auxiliary by form": "patients/NNS/nsubj/2 having/VBG/ROOT/0 {f}/NN/dobj/2\t{n}",
+    "cycle of three": "{f}/NN/nsubj/2 treats/VBZ/ROOT/3 drug/NN/dobj/1\t{n}",
+    "cycle of four": "{f}/NN/nsubj/2 treats/VBZ/ROOT/3 disease/NN/dobj/4 cures/VBZ/conj/1\t{n}",
+    "no path": "{f}/NN/nsubj/2 runs/VBZ/ROOT/0 dog/NN/ROOT/0\t{n}",
+    "repeated events": "{f}/NN/nsubj/3 {f}/NN/nsubj/3 causes/VBZ/ROOT/0 pain/NN/dobj/3\t{n}",
+    "zero count": "{f}/NN/nsubj/2 cures/VBZ/ROOT/0 cold/NN/dobj/2\t0",
+    "negative count": "{f}/NN/nsubj/2 heals/VBZ/ROOT/0 wound/NN/dobj/2\t-{n}",
+    "auxiliary before the verb": "patients/NNS/nsubj/2 is/VBZ/ROOT/0 using/VBG/xcomp/2 {f}/NN/dobj/3\t{n}",
+    "two prepositions": "{f}/NN/nsubj/2 treated/VBN/ROOT/0 with/IN/prep/2 drugs/NNS/pobj/3 in/IN/prep/2 clinics/NNS/pobj/5\t{n}",
+    "object first": "{f}/NN/dobj/2 causes/VBZ/ROOT/0 Smoking/NN/nsubj/2\t{n}",
+    "four nouns": "{f}/NNP/nsubj/3 doctors/NNS/nsubj/3 gave/VBD/ROOT/0 patients/NNS/iobj/3 aspirin/NN/dobj/3\t{n}",
+    "self loop": "{f}/NN/nsubj/2 causes/VBZ/ROOT/2 pain/NN/dobj/2\t{n}",
+    "blank": " ",
+    "head outside": "{f}/NN/nsubj/9 causes/VBZ/ROOT/0 pain/NN/dobj/2\t{n}",
+}
+
+
+def hard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, nation, value): each of HARD_LINES once for each nation, the head word in front, with a year's count behind."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("line")) for k, v in HARD_LINES.items()]))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.replace("n_name", F.lit(" "), F.lit("_")).alias("f"), kinds.alias("k"))
+    line = F.replace(F.replace("k.line", F.lit("{f}"), F.col("f")), F.lit("{n}"), (F.col("n_nationkey") + 1).cast("string"))
+    value = F.when(F.col("k.kind") == "blank", line).otherwise(F.concat(F.lit("head\t"), line, F.lit("\t1990,1")))
+    return rows.select("k.kind", F.col("n_nationkey").alias("nation"), value.alias("value"))

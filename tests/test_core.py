@@ -195,3 +195,42 @@ def test_streaming_counts(spark, tmp_path):
     finally:
         query.stop()
     assert got == {k: v[0] for k, v in MI.items()}
+
+
+@pytest.mark.parametrize("t, counts, rates", [(0.0264642943, (930, 42, 5, 126), (0.956790, 0.880682, 0.917160)), (0.0823973854, (965, 42, 6, 104), (0.958292, 0.902713, 0.929672))])
+def test_published_counts_give_the_published_rates(spark, t, counts, rates):
+    rows = [(f"a{k}", f"b{k}", label, s) for n, label, s in zip(counts, ("POS", "NEG", "NEG", "POS"), (t + 0.1, t, t / 2, 0.0)) for k in range(n)]
+    got = evaluate.confusion_matrix(spark.createDataFrame(rows, "p1 string, p2 string, label string, s double"), t).first()
+    assert (got.tp, got.fp, got.tn, got.fn) == counts and (got.precision, got.recall, got.f1) == pytest.approx(rates, abs=1e-6)
+
+
+def test_runs_over_nothing_are_errors(spark, tmp_path):
+    (tmp_path / "positive.txt").write_text("X cause Y\tX have Y\n")
+    (tmp_path / "negative.txt").write_text("X use Y\tX have Y\n")
+    run = lambda corpus: run_pipeline(spark, str(corpus), str(tmp_path / "positive.txt"), str(tmp_path / "negative.txt"), str(tmp_path / "out"))
+    (tmp_path / "empty").write_text("head\tonly\n")
+    with pytest.raises(ValueError, match="no PS, SW, S marginals"):
+        run(tmp_path / "empty")
+    (tmp_path / "single").write_text("causes\ta/NN/nsubj/2 causes/VBZ/ROOT/0 b/NN/dobj/2\t3\n")  # information is 0 everywhere
+    with pytest.raises(ValueError, match="positive information"):
+        run(tmp_path / "single")
+
+
+def test_first_pairs_follow_the_lists(spark, tmp_path):
+    (tmp_path / "negative.txt").write_text("X a Y\tX b Y\nX c Y\tX d Y\n")
+    (tmp_path / "positive.txt").write_text("X z Y\tX y Y\n\nX m Y\tX n Y\n")
+    pairs = testset.read_pairs(spark, [str(tmp_path / "positive.txt"), str(tmp_path / "negative.txt")])
+    assert [(r.left_raw, r.label) for r in testset.first_pairs(pairs, 3).collect()] == [("X z Y", "POS"), ("X m Y", "POS"), ("X a Y", "NEG")]
+
+
+def test_sweep_in_ranges_equals_counting(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"p{k}", f"q{k}", r.choice(("POS", "NEG", "UNK")), round(r.random() * 1.3, 3)) for k in range(900)]
+    scored = spark.createDataFrame(rows, "p1 string, p2 string, label string, s double")
+    known = [(label, s) for _, _, label, s in rows if label != "UNK"]
+    for steps in (1, 7, 4096):
+        for row in evaluate.threshold_sweep(scored, steps).collect():
+            want = [sum(label == one and (s >= row.t) == hit for label, s in known) for one, hit in (("POS", True), ("NEG", True), ("NEG", False), ("POS", False))]
+            assert [row.tp, row.fp, row.tn, row.fn] == want
