@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import durable, files_at, shared_dir, ship  # noqa: F401
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,55 +44,10 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the cluster's shared folder, spark.checkpoint.dir; it goes when the driver's JVM ends.
-
-    Where the setting is missing, as in tests, one machine runs everything and a folder under /tmp serves; a cluster without it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/pathkin/{spark.sparkContext.applicationId}"
-    if path not in _SHARED:
-        _SHARED.add(path)
-        files, at = _files(spark, path)
-        files.mkdirs(at)
-        files.deleteOnExit(at)
-    return path
-
-
-_SHARED: set[str] = set()
-
-
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path, as the JVM knows them."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def durable(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again.
-
-    This cuts lineage so that a lost executor costs no recomputation, and gives Catalyst real sizes. Shuffle files go with the write.
-    """
-    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that durable() wrote and nothing reads any more."""
     for t in tables:
-        files, at = _files(t.sparkSession, t.stored_at)
+        files, at = files_at(t.sparkSession, t.stored_at)
         files.delete(at, True)
 
 
