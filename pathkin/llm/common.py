@@ -29,17 +29,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def trim() -> None:
+    """Gives memory that is no longer used back to the system: Python workers live on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
-    """run, a function from batches to batches, that gives memory back to the system when it ends: Python workers live on for other tasks."""
+    """run, a function from batches to batches, that trims memory when it ends."""
 
     def wrapped(batches):
-        import pyarrow as pa
-
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return wrapped
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, id_bucket, lean, table, tune, words
+from .common import durable, id_bucket, lean, table, trim, tune, words
 
 #: No word holds a line feed.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\nend", b"\nstart"))
@@ -196,7 +196,7 @@ def unpack(data: bytes, *dtypes) -> list[np.ndarray]:
 
 
 def pack_batch(texts: list[str | None], train: np.ndarray) -> bytes:
-    """Sizes of the texts (in words), whether each is for training, sorted hashes of the distinct words, and the words as numbers into these."""
+    """Sizes of the texts (in words), whether each is for training, hashes of the distinct words, and the words as numbers into these."""
     number: dict[bytes, int] = {}
 
     class Next(dict):
@@ -211,9 +211,9 @@ def pack_batch(texts: list[str | None], train: np.ndarray) -> bytes:
         flat.append(np.fromiter(map(get, got), np.uint32, len(got)))
         sizes.append(len(got))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, number), U64, len(number))
-    vocabulary, rank = np.unique(hashes, return_inverse=True)
-    ids = rank.astype("<u4")[np.concatenate(flat)] if number else np.zeros(0, "<u4")
-    return pack(np.array(sizes, "<i8"), train.astype(np.uint8), vocabulary, ids)
+    ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+    # numbers in the order of first use are small for common words; their bytes are kept apart, which packs well
+    return pack(np.array(sizes, "<i8"), train.astype(np.uint8), hashes, *((ids >> np.uint32(8 * k)).astype(np.uint8) for k in range(4)))
 
 
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,7 +232,8 @@ class Batch:
     """A batch's tokens as numbers into ``hashes`` (sorted; with the end token and the start mark), its distinct pairs, and their distinct successors."""
 
     def __init__(self, data: bytes):
-        sizes, train, vocabulary, ids = unpack(data, "<i8", np.uint8, U64, "<u4")
+        sizes, train, vocabulary, *planes = unpack(data, "<i8", np.uint8, U64, *[np.uint8] * 4)
+        ids = sum(p.astype(np.int64) << (8 * k) for k, p in enumerate(planes))
         self.sizes, self.train = sizes, train.astype(bool)
         self.hashes = np.union1d(vocabulary, np.array([END, START], U64))
         ids = np.searchsorted(self.hashes, vocabulary)[ids]
@@ -321,8 +322,11 @@ class Batch:
         own, pairs, below = self.words_of(shard), self.pairs_of(shard), self.triples_of(shard)
         first, sizes = runs(self.context[pairs])
         key3 = self.hashes[self.last[below]] >> np.uint64(64 - KEY3)
+        contexts = self.context[pairs][first]
+        at = np.searchsorted(self.hashes[own], contexts)  # most are among the message's words: steps between their places
+        here = known_at(self.hashes[own], np.ones(own.stop - own.start, np.int64), contexts) > 0
         return pack(
-            self.hashes[own], self.counts[own].astype("<u4"), self.context[pairs][first], sizes.astype("<u4"), (self.follows[pairs] >> np.uint64(64 - KEY2)).astype("<u4"), self.times[pairs].astype("<u4"),
+            np.diff(self.hashes[own], prepend=U64.type(0)), self.counts[own].astype("<u4"), here.astype(np.uint8), np.diff(at[here], prepend=0).astype("<i4"), contexts[~here], sizes.astype("<u4"), (self.follows[pairs] >> np.uint64(64 - KEY2)).astype("<u4"), self.times[pairs].astype("<u4"),
             self.children[pairs].astype("<u4"), (key3 >> np.uint64(8)).astype("<u2"), (key3 & np.uint64(255)).astype(np.uint8), self.triple_counts[below].astype("<u4"),
         )
 
@@ -340,9 +344,18 @@ def known_at(names: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nd
     return np.where(names[at] == wanted, values[at], 0)
 
 
+def opened(message: bytes) -> list[np.ndarray]:
+    """words, counts; contexts, their sizes; successors, counts, numbers of children; the children's high and low bits, counts."""
+    own, counts, here, steps, other, *rest = unpack(message, U64, "<u4", np.uint8, "<i4", U64, "<u4", "<u4", "<u4", "<u4", "<u2", np.uint8, "<u4")
+    own = np.cumsum(own, dtype=U64)
+    contexts = np.empty(len(here), U64)
+    contexts[here == 1], contexts[here == 0] = own[np.cumsum(steps)], other
+    return [own, counts, contexts, *rest]
+
+
 def answer(messages: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, lowest: float) -> tuple[list[bytes], int, np.ndarray]:
     """A shard's answers to its messages, how many words with training counts it has, and how many successors of each hot context."""
-    parts = [unpack(m, U64, "<u4", U64, "<u4", "<u4", "<u4", "<u4", "<u2", np.uint8, "<u4") for m in messages]
+    parts = [opened(m) for m in messages]
     joined = lambda k, kind: np.concatenate([p[k] for p in parts]).astype(kind)
     vocabulary, word_at = np.unique(joined(0, U64), return_inverse=True)
     counts = np.bincount(word_at, weights=joined(1, np.float64), minlength=len(vocabulary)).astype(np.int64)
@@ -385,7 +398,7 @@ def answer(messages: list[bytes], hot: np.ndarray, hot_counts: np.ndarray, lowes
     return out, int((np.bincount(word_at, weights=counts > 0) > 0).sum()), known_at(contexts, fanout, hot)
 
 
-def lm_scores(docs: DataFrame, holdout=(5, 1), batch_tokens: int = 500_000) -> DataFrame:
+def lm_scores(docs: DataFrame, holdout=(5, 1), batch_tokens: int = 700_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     Texts are learnt from unless crc32 of the id as text modulo holdout[0] is holdout[1]. Null and
@@ -458,15 +471,17 @@ def lm_scores(docs: DataFrame, holdout=(5, 1), batch_tokens: int = 500_000) -> D
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = Batch(data)
                 b.deal(shards, hot)
-                for s in b.present():
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([number], pa.int64()), pa.array([b.message(s)], pa.binary())], ["shard", "batch", "data"])
+                to = b.present()
+                for some in (to[k : k + 64] for k in range(0, len(to), 64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), pa.array([b.message(s) for s in some], pa.binary())], ["shard", "batch", "data"])
 
     counts = {r["word"]: r["n"] for r in batches.select("data").mapInArrow(lean(hot_contexts), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     hot_counts = np.array([counts.get(w, 0) for w in hot.view(np.int64).tolist()], np.int64)
     hot_counts[np.searchsorted(hot, START)] = train_texts
 
     def reply(key, shard):
-        answers, types, hot_types = answer([bytes(x) for x in shard["data"].to_pylist()], hot, hot_counts, lowest)
+        answers, types, hot_types = answer(shard["data"].to_pylist(), hot, hot_counts, lowest)
+        trim()
         once = pa.array([hot_types.tolist()] + [None] * (len(answers) - 1), pa.list_(pa.int64()))
         return pa.table({"batch": shard["batch"], "shard": shard["shard"], "types": pa.array([types] + [0] * (len(answers) - 1), pa.int64()), "hot_types": once, "data": pa.array(answers, pa.binary())})
 
@@ -508,6 +523,7 @@ def lm_scores(docs: DataFrame, holdout=(5, 1), batch_tokens: int = 500_000) -> D
         final[later] = own3[b.triple_of] + leaves3[b.pair_of[later - 1]] * final[later]
         sums = lambda x: np.add.reduceat(x, b.firsts)
         doc_ids = own["doc_ids"].combine_chunks().flatten()
+        trim()
         return pa.table(
             {
                 "doc_id": doc_ids, "held_out": pa.array(~b.train), "n_tokens": pa.array(b.sizes + 1), "n_known": pa.array(sums((counts[b.tokens] > 0).astype(np.int64))),
