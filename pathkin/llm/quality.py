@@ -87,8 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, holdout=(3, 1), labelled: int = 20
 
     known = labels.select("doc_id", "quality").filter((id_bucket("doc_id", holdout[0]) != holdout[1]) & F.col("quality").isNotNull())
     chosen = by_hash(known, labelled, 8)
-    # at most ``labelled`` ids, a proven bound for the broadcasts
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    # at most ``labelled`` ids, a proven bound for the broadcasts, and one text of each
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.min("text").alias("text"))
 
     def measure(batches):
         for batch in batches:
@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, holdout=(3, 1), labelled: int = 20
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     truth = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("quality").cast("double").alias("y"))
-    rows = durable(sample.mapInArrow(measure, f"_id {kind}, x array<double>").join(truth, "_id").select("x", "y").coalesce(8), "quality-sample")
+    rows = durable(sample.mapInArrow(measure, f"_id {kind}, x array<double>").join(truth, "_id").select("x", "y"), "quality-sample")
 
     def matrices(batch):
         return np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, WIDTH), np.array(batch.column(1).to_pylist(), np.float64)
@@ -148,9 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, holdout=(3, 1), labelled: int = 20
 def quality(docs: DataFrame, labels: DataFrame, holdout=(3, 1), **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    docs needs doc_id and text, labels doc_id and quality (0, 1 or null; of several rows the largest); other columns are not read.
+    docs needs doc_id and text, labels doc_id and quality (0, 1 or null; of several rows of an id the largest counts, and of several texts the smallest); other columns are not read.
     Null and empty texts have all statistics 0 and score accordingly. Repeated rows score alike.
-    Without labels every score is 0.5 or close to it. Null ids hash as the empty text.
+    Without labels every score is 0.5 or close to it. Null ids hash as the empty text and have no label. An empty table gives an empty result.
     """
     import pyarrow as pa
 

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathkin.llm.quality import isotonic, quality
+from pathkin.llm.quality import isotonic, quality, statistics
+from pathkin.llm.quality import train as train_quality
 from pathkin.llm.secrets import FEATURES, Forest, common_words, features_of, fit_scanner, labelled_findings, redacted, secret_findings
 from pathkin.llm.toxicity import Csr, fit, nnpu_gradient, nnpu_risk, sigmoid, toxicity, without_toxic
 
@@ -71,6 +72,34 @@ def test_quality(docs, labels, none, rows):
     assert quality(docs, labels.filter("false")).count() == len(rows)
 
 
+def test_quality_weights_equal_a_direct_solution(docs, labels, rows):
+    model = train_quality(docs, labels, features=30)
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and bucket(r.doc_id, 3) != 1}
+    texts = {r[0]: r[1] for r in rows if r[0] in truth}
+    x, y = np.array([statistics(texts[d]) for d in sorted(texts)]), np.array([truth[d] for d in sorted(texts)], float)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.std, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1), atol=1e-6)
+    z = model.features(x)
+    penalty = np.sqrt(np.append(np.full(30, 1e-3 * len(x) / 30), 0.0) + 1e-9)
+    direct = np.linalg.lstsq(np.vstack((z, np.diag(penalty))), np.append(y, np.zeros(31)), rcond=None)[0]
+    assert np.allclose(z @ model.beta, z @ direct, atol=1e-5)
+
+
+def test_isotonic_equals_the_best_of_all_steps():
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 7):
+        for _ in range(15):
+            x, y = np.arange(n, dtype=float), rng.integers(0, 2, n).astype(float)
+            best = None
+            for k in range(n):
+                for cuts in combinations(range(1, n), k):
+                    steps = np.concatenate([np.full(b - a, y[a:b].mean()) for a, b in zip((0, *cuts), (*cuts, n))])
+                    if (np.diff(steps) >= 0).all() and (best is None or ((steps - y) ** 2).sum() < best[0] - 1e-12):
+                        best = (((steps - y) ** 2).sum(), steps)
+            assert np.allclose(np.interp(x, *isotonic(x, y)), best[1])
+
+
 def test_isotonic():
     x, y = isotonic(np.array([1.0, 2, 3, 4, 5, 5]), np.array([0, 1, 0, 1, 1, 0]))
     assert (np.diff(y) >= 0).all() and np.allclose(np.interp([1, 2, 3], x, y), [0, 0.5, 0.5])
